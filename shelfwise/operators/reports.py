@@ -316,5 +316,5 @@ def growth_flip(sales: DataFrame, moves: DataFrame) -> DataFrame:
 
 def size_rank_ids(top: DataFrame, by: str = "units", prefix: str = "D") -> DataFrame:
     """D01, D02, ... by ``by`` descending."""
-    placed = position_by(top, by, S.KEY, "place")
+    placed = position_by(top.select(S.KEY, by), by, S.KEY, "place")
     return placed.select(F.format_string(f"{prefix}%02d", "place").alias("id"), S.KEY)

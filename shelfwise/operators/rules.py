@@ -98,7 +98,7 @@ def publish_gate(
         ).alias("c")
     ).scalar()
     groups, drilled = counts.getField("groups"), counts.getField("drilled")
-    score = F.format_number("agreement", "0.00")
+    score = F.format_string("%.2f", "agreement")
     stop = F.concat(
         F.lit("Stop: resampled groups agree at "),
         score,
