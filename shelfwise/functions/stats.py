@@ -34,36 +34,30 @@ def ln_gamma(x: Column) -> Column:
     return high - F.log(product)
 
 
-def student_t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p-value for an integer number of degrees of freedom.
+def student_t_two_sided(theta: Column, dof: Column) -> Column:
+    """Two-sided p-value for an integer number of degrees of freedom, from atan(|t| / sqrt(dof)).
 
     The finite trigonometric series of Abramowitz & Stegun 26.7.3 and 26.7.4: each term is the one
-    before times a ratio and cos^2, so it folds over a short sequence inside the JVM.
+    before times a ratio and cos^2, so it folds over a short sequence inside the JVM. ``theta``
+    should be a plain column, as it appears in the expression several times.
     """
-    size = F.abs(t)
-    theta = F.atan(size / F.sqrt(dof))
-    cosine, sine = F.cos(theta), F.sin(theta)
-    squared = cosine * cosine
     odd = dof % 2 == 1
-    # Odd: terms cos * 1, 2/3, 2*4/(3*5), ...; even: terms 1, 1/2, 1*3/(2*4), ...
-    terms = F.floor((dof - F.when(odd, 1).otherwise(0)) / 2).cast("int")
     offset = F.when(odd, 0).otherwise(1)
-    start = F.when(odd, cosine).otherwise(F.lit(1.0))
+    # Odd: terms cos * 1, 2/3, 2*4/(3*5), ...; even: terms 1, 1/2, 1*3/(2*4), ...
+    start = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+    last = F.floor(dof / 2).cast("int") - 1
 
     def grow(acc: Column, i: Column) -> Column:
         ratio = (2 * i - offset) / (2 * i + 1 - offset)
-        term = acc["term"] * ratio * squared
+        term = acc["term"] * ratio * F.pow(F.cos(theta), F.lit(2.0))
         return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
 
-    total = F.when(
-        terms > 0,
-        F.aggregate(
-            F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            F.struct(start.alias("sum"), start.alias("term")),
-            grow,
-        )["sum"],
-    ).otherwise(0.0)
-    inside = F.when(odd, (theta + sine * total) * (2 / math.pi)).otherwise(sine * total)
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    summed = F.aggregate(
+        steps, F.struct(start.alias("sum"), start.alias("term")), grow, lambda acc: acc["sum"]
+    )
+    total = F.when(dof > 1, summed).otherwise(0.0)
+    inside = F.when(odd, (theta + F.sin(theta) * total) * (2 / math.pi)).otherwise(
+        F.sin(theta) * total
+    )
     return F.greatest(F.lit(0.0), 1 - inside)

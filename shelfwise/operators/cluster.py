@@ -28,6 +28,8 @@ from shelfwise.sources.staging import stage
 
 SEED_POINTS = 4096
 MAX_ITERATIONS = 100
+# Up to this many tasks hand their sums to the driver as they are; more are added up on Spark first.
+FEW_TASKS = 16
 _CHUNK = 1024
 
 
@@ -136,16 +138,17 @@ def fit_runs(points: DataFrame, runs: Sequence[Run]) -> list[Fit]:
             valid[at, : run.k] = True
         inertia = np.full(len(owner), np.inf)
         moving = np.arange(len(owner))
+        names = ["n", "cost", *[f"s{i}" for i in range(d)]]
+        few_tasks = table.rdd.getNumPartitions() <= FEW_TASKS
         scale = max(1.0, float(np.abs(x).max()))
         for _ in range(MAX_ITERATIONS):
             step = _partial_sums(centres[moving], valid[moving], member[moving])
-            rows = (
-                table.select("x", "members")
-                .mapInPandas(step, _sum_schema(d))
-                .groupBy("slot")
-                .agg(*[F.sum(c).alias(c) for c in ["n", "cost", *[f"s{i}" for i in range(d)]]])
-                .toPandas()
-            )
+            partial = table.select("x", "members").mapInPandas(step, _sum_schema(d))
+            if few_tasks:
+                rows = partial.toPandas().groupby("slot", as_index=False)[names].sum()
+            else:
+                sums = [F.sum(c).alias(c) for c in names]
+                rows = partial.groupBy("slot").agg(*sums).toPandas()
             new, cost = centres[moving].reshape(-1, d).copy(), np.zeros(len(moving) * widest)
             slots = rows["slot"].to_numpy()
             new[slots] = rows[[f"s{i}" for i in range(d)]].to_numpy() / rows[["n"]].to_numpy()

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from shelfwise import settings as S
 from shelfwise.functions.stats import student_t_two_sided
+from shelfwise.sources.staging import stage
 
 SUB = "subcategory_nm"
 PAIR = [SUB, "product_a", "product_b"]
@@ -64,6 +65,7 @@ def pair_weeks(weekly: DataFrame, top_n: int = S.TOP_N) -> DataFrame:
     Only the top N meet: an equi-join on subcategory and week with at most N rows a side, so the
     output is bounded by N(N-1)/2 pairs per subcategory and week however big the subcategory is.
     """
+    weekly = stage(weekly, "product-weeks")
     places = top_n_sellers(weekly, top_n).select(SUB, S.KEY, "place")
     measures = ["units", "revenue", "promo", "shelf", "price"]
     ranked = weekly.join(places, [SUB, S.KEY]).dropna(subset=measures)
@@ -86,7 +88,57 @@ def pair_weeks(weekly: DataFrame, top_n: int = S.TOP_N) -> DataFrame:
 
 
 _CONTROLS = ["own_price", "own_promo", "own_shelf", "week", "demand"]
-_TOLERANCE = 1e-20
+_TOLERANCE = 1e-12
+
+
+def _design(weekly: DataFrame, top_n: int) -> DataFrame:
+    """Product weeks of the top N with the regression's columns, each less its product's mean.
+
+    Logs and shifts are taken here, once per product week instead of once per pair week. The
+    shift only keeps the sums below small; the fit has an intercept and does not depend on it.
+    """
+    places = top_n_sellers(weekly, top_n).select(SUB, S.KEY, "place")
+    measures = ["units", "revenue", "promo", "shelf", "price"]
+    rows = (
+        weekly.join(places, [SUB, S.KEY])
+        .dropna(subset=measures)
+        .join(category_demand(weekly), [SUB, "period_id"])
+    )
+    columns = {
+        "y": F.log("units"),
+        "own_price": F.log("price"),
+        "own_promo": F.col("promo") / 100,
+        "own_shelf": F.log(F.greatest("shelf", F.lit(S.SHELF_FLOOR))),
+        "week": F.unix_date("period_id") / 7.0,
+        "demand": F.log("category_units"),
+    }
+    named = rows.select(
+        SUB, S.KEY, "period_id", "place", *[c.alias(k) for k, c in columns.items()]
+    )
+    product = Window.partitionBy(SUB, S.KEY)
+    shifted = [(F.col(c) - F.avg(c).over(product)).alias(c) for c in columns]
+    return named.select(SUB, S.KEY, "period_id", "place", *shifted)
+
+
+def _moment(a: str, b: str) -> str:
+    """Column name of the sum of products of two regression columns."""
+    return "_".join(sorted([a, b]))
+
+
+# The intercept and the controls are regressed out one after the other: each step takes from every
+# entry of the matrix of sums of products what column c explains of it, and notes whether anything
+# of column c itself was left to explain with. One compact expression, whatever the matrix size.
+_ELIMINATE = """
+aggregate(
+  sequence(0, {steps} - 1),
+  named_struct('m', sums, 'full_rank', true),
+  (acc, c) -> named_struct(
+    'm', transform(acc.m, (v, i) -> v - coalesce(try_divide(
+           get(acc.m, cast(i div {size} as int) * {size} + c) * get(acc.m, c * {size} + i % {size}),
+           get(acc.m, c * {size} + c)), 0D)),
+    'full_rank', acc.full_rank
+       and get(acc.m, c * {size} + c) > {tolerance}D * get(sums, c * {size} + c)))
+"""
 
 
 def pair_regression(
@@ -96,85 +148,77 @@ def pair_regression(
 
     One direction per pair: A, the bigger seller, explained by B's price, A's own price, promotion
     and shelf, the week and the subcategory's demand. By the Frisch-Waugh theorem the coefficient
-    is the slope between what is left of both after the controls are taken out; the controls are
-    taken out one by one (modified Gram-Schmidt) with window sums that all share the pair as key,
-    so the pair weeks are shuffled once. Pairs whose columns are collinear, that leave no degree
-    of freedom, or that fit without error are absent.
+    is the slope between what is left of both after intercept and controls are taken out. A pair
+    needs only its sums of products for that, so pair weeks go straight from the join into partial
+    sums and are never shuffled or sorted as rows; the elimination runs on one row per pair.
+    Pairs whose columns are collinear, that leave no degree of freedom, or that fit without error
+    are absent.
     """
-    pair = Window.partitionBy(*PAIR)
-    shared = pair_weeks(weekly, top_n).join(category_demand(weekly), [SUB, "period_id"])
-    days = F.datediff("period_id", F.min("period_id").over(pair))
-    columns = {
-        "y": F.log("units_a"),
-        "z": F.log("price_b"),
-        "own_price": F.log("price_a"),
-        "own_promo": F.col("promo_a") / 100,
-        "own_shelf": F.log(F.greatest("shelf_a", F.lit(S.SHELF_FLOOR))),
-        "week": days / 7.0,
-        "demand": F.log("category_units"),
-    }
-    rows = shared.select(
-        *PAIR, F.count(F.lit(1)).over(pair).alias("n"), *[c.alias(k) for k, c in columns.items()]
-    ).where(F.col("n") >= min_weeks)
-
-    def centred(name: str) -> Column:
-        return (F.col(name) - F.avg(name).over(pair)).alias(name)
-
-    # The squared length before centring is the yardstick for "nothing left of this column".
-    lengths = [
-        F.sum(F.col(c) * F.col(c)).over(pair).alias(f"len_{c}") for c in [*_CONTROLS, "z"]
-    ]
-    rows = rows.select(*PAIR, "n", *[centred(c) for c in columns], *lengths).withColumn(
-        "full_rank", F.lit(True)
+    # Product weeks feed the ranking, the demand and the columns; the columns feed both sides.
+    design = stage(_design(stage(weekly, "product-weeks"), top_n), "pair-columns")
+    a = design.withColumnsRenamed({S.KEY: "product_a", "place": "place_a"})
+    b = design.select(
+        SUB,
+        "period_id",
+        F.col(S.KEY).alias("product_b"),
+        F.col("place").alias("place_b"),
+        F.col("own_price").alias("z"),
     )
-    left = list(columns)
-    for control in _CONTROLS:
-        left.remove(control)
-        norm = F.sum(F.col(control) * F.col(control)).over(pair)
-
-        def without(name: str, control: str = control, norm: Column = norm) -> Column:
-            share = F.try_divide(F.sum(F.col(name) * F.col(control)).over(pair), norm)
-            return (F.col(name) - F.coalesce(share, F.lit(0.0)) * F.col(control)).alias(name)
-
-        later = [c for c in _CONTROLS if c in left]
-        rows = rows.select(
-            *PAIR,
-            "n",
-            *[without(c) for c in left],
-            *[f"len_{c}" for c in [*later, "z"]],
-            (F.col("full_rank") & (norm > _TOLERANCE * F.col(f"len_{control}"))).alias(
-                "full_rank"
-            ),
+    shared = a.join(b, [SUB, "period_id"]).where(F.col("place_a") < F.col("place_b"))
+
+    columns = ["one", *_CONTROLS, "z", "y"]
+    size = len(columns)
+    sums = (
+        shared.withColumn("one", F.lit(1.0))
+        .groupBy(*PAIR)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[
+                F.sum(F.col(p) * F.col(q)).alias(_moment(p, q))
+                for i, p in enumerate(columns)
+                for q in columns[i:]
+            ],
         )
-    sums = rows.groupBy(*PAIR).agg(
-        F.max("n").alias("n"),
-        F.sum(F.col("z") * F.col("z")).alias("zz"),
-        F.sum(F.col("z") * F.col("y")).alias("zy"),
-        F.sum(F.col("y") * F.col("y")).alias("yy"),
-        F.bool_and(F.col("full_rank")).alias("full_rank"),
-        F.max("len_z").alias("len_z"),
+        .where(F.col("n") >= min_weeks)
+    )
+    matrix = F.array(*[F.col(_moment(p, q)) for p in columns for q in columns])
+    eliminate = _ELIMINATE.format(steps=size - 2, size=size, tolerance=_TOLERANCE)
+    reduced = sums.select(*PAIR, "n", matrix.alias("sums")).select(
+        *PAIR, "n", "sums", F.expr(eliminate).alias("left")
+    )
+
+    def entry(row: int, column: int) -> Column:
+        return F.get("left.m", F.lit(row * size + column))
+
+    at_z, at_y = size - 2, size - 1
+    final = reduced.select(
+        *PAIR,
+        "n",
+        F.col("left.full_rank").alias("full_rank"),
+        F.get("sums", F.lit(at_z * size + at_z)).alias("length_z"),
+        entry(at_z, at_z).alias("zz"),
+        entry(at_z, at_y).alias("zy"),
+        entry(at_y, at_y).alias("yy"),
     )
+    zz, zy, yy = F.col("zz"), F.col("zy"), F.col("yy")
     dof = F.col("n") - (len(_CONTROLS) + 2)
-    fitted = sums.where(
-        F.col("full_rank") & (F.col("zz") > _TOLERANCE * F.col("len_z")) & (dof > 0)
+    fitted = final.where(
+        F.col("full_rank") & (zz > _TOLERANCE * F.col("length_z")) & (dof > 0)
     ).select(
         *PAIR,
         F.col("n").alias("shared_weeks"),
         dof.alias("dof"),
-        (F.col("zy") / F.col("zz")).alias("effect"),
-        F.sqrt(
-            F.greatest(F.lit(0.0), F.col("yy") - F.col("zy") * F.col("zy") / F.col("zz"))
-            / dof
-            / F.col("zz")
-        ).alias("std_error"),
+        (zy / zz).alias("effect"),
+        F.sqrt(F.greatest(F.lit(0.0), yy - zy * zy / zz) / dof / zz).alias("std_error"),
     )
     return fitted.where(F.col("std_error") > 0)
 
 
 def effect_pvalue(fits: DataFrame) -> DataFrame:
     """Two-sided p-value of each effect."""
-    t = F.col("effect") / F.col("std_error")
-    return fits.withColumn("p", student_t_two_sided(t, F.col("dof")))
+    t = F.abs(F.col("effect") / F.col("std_error"))
+    angled = fits.withColumn("_theta", F.atan(t / F.sqrt("dof")))
+    return angled.withColumn("p", student_t_two_sided(F.col("_theta"), F.col("dof"))).drop("_theta")
 
 
 def strict_links(
@@ -208,7 +252,7 @@ def all_subcategory_links(
 
 
 def cross_price_links(sales: DataFrame, **options) -> DataFrame:
-    """Strict links of the biggest subcategory."""
+    """Strict links of the biggest subcategory. ``sales`` is read twice: stage it."""
     return all_subcategory_links(subcategory_slice(sales), **options).drop(SUB)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from shelfwise import settings as S
 from shelfwise.functions.ordered import exact_quantiles, position_by
 from shelfwise.operators.features import weekly_view
+from shelfwise.sources.staging import stage
 
 
 def subcategory_profile(raw: DataFrame) -> DataFrame:
@@ -107,7 +108,9 @@ def mechanic_mix(sales: DataFrame, groups: DataFrame, group: str = "group") -> D
 
 def retailer_codes(sales: DataFrame) -> DataFrame:
     """R1, R2, ... by revenue."""
-    revenue = sales.groupBy("retailer_nm").agg(F.sum("total_sales").alias("revenue"))
+    revenue = stage(
+        sales.groupBy("retailer_nm").agg(F.sum("total_sales").alias("revenue")), "retailer-revenue"
+    )
     return position_by(revenue, "revenue", "retailer_nm", "place").select(
         F.concat(F.lit("R"), F.col("place").cast("string")).alias("code"), "retailer_nm"
     )
@@ -115,12 +118,13 @@ def retailer_codes(sales: DataFrame) -> DataFrame:
 
 def retailer_profile(sales: DataFrame) -> DataFrame:
     """Revenue, range, median shelf, mean promotion and promoted revenue share per retailer."""
-    sums = sales.groupBy("retailer_nm").agg(
+    per_retailer = sales.groupBy("retailer_nm").agg(
         F.sum("total_sales").alias("revenue"),
         F.count_distinct(S.KEY).alias("products"),
         F.avg("any_promo_acv_pct").alias("avg_promo_acv"),
         F.try_divide(F.sum("any_promo_amt"), F.sum("total_sales")).alias("promo_rev_share"),
     )
+    sums = stage(per_retailer, "retailer-sums")
     medians = exact_quantiles(sales, "acv_pct", {"median_shelf": 0.5}, ["retailer_nm"])
     placed = position_by(sums, "revenue", "retailer_nm", "place")
     return placed.join(medians, "retailer_nm", "left").select(
@@ -180,8 +184,10 @@ def product_format(raw: DataFrame, column: str = "attribute_1", name: str = "for
 
 def pareto(sales: DataFrame) -> DataFrame:
     """Products by revenue with their place and cumulative share of it."""
-    revenue = sales.groupBy(S.KEY).agg(F.sum("total_sales").alias("revenue"))
-    whole = sales.agg(F.sum("total_sales").alias("revenue")).scalar()
+    revenue = stage(
+        sales.groupBy(S.KEY).agg(F.sum("total_sales").alias("revenue")), "product-revenue"
+    )
+    whole = revenue.agg(F.sum("revenue")).scalar()
     placed = position_by(revenue, "revenue", S.KEY, "place", "running")
     return placed.select(
         S.KEY, "place", "revenue", F.try_divide(F.col("running"), whole).alias("cum_share")

@@ -977,8 +977,8 @@ FROM placed ORDER BY mean_rank DESC, placed.silhouette DESC, groups LIMIT 1""",
   FROM banded b LEFT JOIN (SELECT rgm_ppg, min(attribute_1) AS format FROM panel GROUP BY 1) f
     ON f.rgm_ppg = b.rgm_ppg),
 long AS (
-  UNPIVOT INCLUDE NULLS attributes ON subcategory_nm, brand_nm, uom, format, pack_size
-  INTO NAME attribute VALUE value),
+  FROM attributes UNPIVOT INCLUDE NULLS (
+    value FOR attribute IN (subcategory_nm, brand_nm, uom, format, pack_size))),
 cells AS (SELECT attribute, g, value, count(*) AS n FROM long GROUP BY ALL),
 rows AS (SELECT attribute, g, sum(n) AS a FROM cells GROUP BY ALL),
 cols AS (SELECT attribute, value, sum(n) AS b FROM cells GROUP BY ALL),

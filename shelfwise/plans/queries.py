@@ -97,6 +97,11 @@ def _sales(spark: SparkSession, sf: str, min_weeks: int = S.MIN_WEEKS) -> DataFr
     return clean.clean_panel(pos_panel(spark, sf), FLOOR, min_weeks)
 
 
+def _staged_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """The clean panel as a written table, for queries that read it more than once."""
+    return stage(_sales(spark, sf), "clean-panel")
+
+
 def _features(spark: SparkSession, sf: str, floor: float = FLOOR) -> DataFrame:
     return features.features_from_raw(pos_panel(spark, sf), floor)
 
@@ -183,7 +188,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stage_checkpoint")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sales = stage(_sales(spark, sf), "clean-panel")
+    sales = _staged_sales(spark, sf)
     return tidy(
         sales.select(*S.GRAIN, "total_units", "total_sales", "acv_pct", "price_per_pack"),
         total_sales=2,
@@ -225,7 +230,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subcategory_slice")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sliced = links.subcategory_slice(_sales(spark, sf))
+    sliced = links.subcategory_slice(_staged_sales(spark, sf))
     return tidy(sliced.select("subcategory_nm", *S.GRAIN, "total_units", "total_sales"))
 
 
@@ -264,7 +269,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("features_join_dynamics")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sales = stage(_sales(spark, sf), "clean-panel")
+    sales = _staged_sales(spark, sf)
     joined = features.features_join_dynamics(
         features.product_aggregates(sales), features.movement(sales)
     )
@@ -282,7 +287,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("category_demand_join")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    joined = links.category_demand_join(links.weekly_prices(_sales(spark, sf)))
+    joined = links.category_demand_join(
+        stage(links.weekly_prices(_sales(spark, sf)), "product-weeks")
+    )
     return joined.select("subcategory_nm", S.KEY, "period_id", "units", "category_units")
 
 
@@ -293,7 +300,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("period_halves_join")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(reports.period_halves(_sales(spark, sf)))
+    return tidy(reports.period_halves(_staged_sales(spark, sf)))
 
 
 def _loose_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +393,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("retailer_profile")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(reports.retailer_profile(_sales(spark, sf)))
+    return tidy(reports.retailer_profile(_staged_sales(spark, sf)))
 
 
 @query("layer_profile")
@@ -407,7 +414,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("node_table")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sales = stage(_sales(spark, sf), "clean-panel")
+    sales = _staged_sales(spark, sf)
     units = sales.groupBy(S.KEY).agg(F.sum("total_units").alias("units"))
     found = stage(
         links.all_subcategory_links(sales, alpha=LOOSE_ALPHA, min_effect=LOOSE_EFFECT), "links"
@@ -503,7 +510,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("size_rank_ids")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    weekly = links.weekly_prices(links.subcategory_slice(_sales(spark, sf)))
+    weekly = links.weekly_prices(links.subcategory_slice(_staged_sales(spark, sf)))
     return reports.size_rank_ids(links.top_n_sellers(weekly), "total_units")
 
 
@@ -641,12 +648,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("promo_drift")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(reports.promo_drift(_sales(spark, sf)))
+    return tidy(reports.promo_drift(_staged_sales(spark, sf)))
 
 
 @query("growth_flip")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    sales = stage(_sales(spark, sf), "clean-panel")
+    sales = _staged_sales(spark, sf)
     return tidy(reports.growth_flip(sales, features.movement(sales)))
 
 
@@ -874,7 +881,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cross_price_links")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    found = links.cross_price_links(_sales(spark, sf), alpha=LOOSE_ALPHA, min_effect=LOOSE_EFFECT)
+    found = links.cross_price_links(_staged_sales(spark, sf), alpha=LOOSE_ALPHA, min_effect=LOOSE_EFFECT)
     return tidy(found)
 
 
