@@ -307,7 +307,7 @@ def stability(
 
     The full fit and all resample fits advance in the same jobs.
     """
-    sampled = with_resamples(points, times, fraction, seed)
+    sampled = stage(with_resamples(points, times, fraction, seed), "resamples")
     fits = fit_runs(
         sampled,
         [Run(k, restarts, seed), *[Run(k, restarts, seed, member=i) for i in range(times)]],

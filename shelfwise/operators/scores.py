@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from shelfwise import settings as S
 from shelfwise.functions.ordered import join_null_safe
 from shelfwise.functions.stats import ln_gamma
+from shelfwise.sources.staging import stage
 
 BLOCK = 2048
 
@@ -157,7 +158,7 @@ def _pairs(n: Column) -> Column:
 def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Adjusted Rand index of two label columns, per ``by`` if given."""
     by = list(by)
-    cells = _contingency(df, a, b, by)
+    cells = stage(_contingency(df, a, b, by), "contingency")  # label counts, read three times
 
     def margin(column: str, name: str) -> DataFrame:
         sums = cells.groupBy(*by, column).agg(F.sum("nij").alias("s"))
@@ -188,9 +189,10 @@ def adjusted_mutual_info(df: DataFrame, group: str, attributes: Sequence[str]) -
     long = df.select(
         F.col(group).alias("g"), *[F.col(a).cast("string").alias(a) for a in attributes]
     ).unpivot(["g"], list(attributes), "attribute", "value")
-    cells = long.groupBy("attribute", "g", "value").agg(
+    counts = long.groupBy("attribute", "g", "value").agg(
         F.count(F.lit(1)).cast("double").alias("nij")
     )
+    cells = stage(counts, "contingency")
     rows = cells.groupBy("attribute", "g").agg(F.sum("nij").alias("a"))
     cols = cells.groupBy("attribute", "value").agg(F.sum("nij").alias("b"))
     total = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
@@ -244,10 +246,7 @@ def adjusted_mutual_info(df: DataFrame, group: str, attributes: Sequence[str]) -
         .join(entropy(rows, "a", "h_group"), "attribute")
         .join(entropy(cols, "b", "h_value"), "attribute")
         .join(
-            long.where(F.col("value").isNotNull())
-            .groupBy("attribute")
-            .agg(F.count_distinct("value").alias("values")),
-            "attribute",
+            cols.groupBy("attribute").agg(F.count("value").alias("values")), "attribute"
         )
         .where(F.col("values") > 1)
     )
