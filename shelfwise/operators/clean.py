@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.settings import ACV_COLS, GRAIN, KEY, META_COLS, MIN_WEEKS, PRICE_FLOOR, SALES_COLS
+from shelfwise.sources.staging import stage
 
 
 def price_per_pack() -> Column:
@@ -70,15 +71,30 @@ def qualifying_products(sales: DataFrame, history: DataFrame, min_weeks: int = M
     return sales.join(history.where(F.col("n_weeks") >= min_weeks).select(KEY), KEY, "left_semi")
 
 
+def _judged(kept: DataFrame, history: DataFrame, min_weeks: int) -> DataFrame:
+    """Merged rows of the products with enough history, with their catalogue fields."""
+    enough = history.where(F.col("n_weeks") >= min_weeks).drop("n_weeks")
+    return merge_barcodes(kept).join(enough, KEY).select(
+        *GRAIN, *SALES_COLS, *ACV_COLS, *META_COLS, "price_per_pack"
+    )
+
+
 def clean_panel(
     raw: DataFrame, price_floor: float = PRICE_FLOOR, min_weeks: int = MIN_WEEKS
 ) -> DataFrame:
     """All three rules. Catalogue and history come from one product-level join."""
     kept = drop_placeholders(raw, price_floor)
-    history = product_history(kept).where(F.col("n_weeks") >= min_weeks).drop("n_weeks")
-    return merge_barcodes(kept).join(history, KEY).select(
-        *GRAIN, *SALES_COLS, *ACV_COLS, *META_COLS, "price_per_pack"
-    )
+    return _judged(kept, product_history(kept), min_weeks)
+
+
+def clean_and_set_aside(
+    raw: DataFrame, price_floor: float = PRICE_FLOOR, min_weeks: int = MIN_WEEKS
+) -> tuple[DataFrame, DataFrame]:
+    """Clean panel and set-aside list, with the history they share taken once."""
+    kept = drop_placeholders(raw, price_floor)
+    history = stage(product_history(kept), "history")
+    aside = history.where(F.col("n_weeks") < min_weeks).select(KEY, "n_weeks").orderBy(KEY)
+    return _judged(kept, history, min_weeks), aside
 
 
 def set_aside(

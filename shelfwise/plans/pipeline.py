@@ -47,7 +47,8 @@ def run(
 
     The clean panel, the features and the prepared points are staged: each feeds several branches.
     """
-    sales = stage(clean.clean_panel(raw, price_floor, min_weeks), "clean-panel")
+    panel, aside = clean.clean_and_set_aside(raw, price_floor, min_weeks)
+    sales = stage(panel, "clean-panel")
     table = stage(
         features.product_features(sales, clean.product_meta(sales), min_weeks), "features"
     )
@@ -72,7 +73,7 @@ def run(
         "groups": groups,
         "group_profiles": profile.join(names, "group").select("group_name", *S.FEATURES),
         "suggestions": suggestions,
-        "products_set_aside": clean.set_aside(raw, price_floor, min_weeks).select(S.KEY),
+        "products_set_aside": aside.select(S.KEY),
         "biggest_group_split": split,
         "cross_price_links": links.cross_price_links(sales, top_n=top_n),
     }
