@@ -895,7 +895,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pipeline_run")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw panel to published suggestions, with a search and resample count fit for a check."""
+    """Raw panel to published suggestions with the default search, restarts and resamples."""
     result = pipeline.run(
         spark,
         pos_panel(spark, sf),
