@@ -6,20 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import simhash
+from shelfwise.llm import decontaminate, packing, quality, simhash, substring
+from shelfwise.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score and decision."""
+    return quality.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, those in repeated passages, and a digest of the rest."""
+    return substring.op6(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return packing.op7(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the smallest doc_id it is linked to, directly or through others."""
     return simhash.op8(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return decontaminate.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
+    "op6_substring": op6_substring,
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
-
-ORACLE: dict[str, str] = {}
