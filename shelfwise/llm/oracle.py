@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shelfwise.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, needed
+
 SUBSTRING = r"""
 WITH held AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -47,4 +49,44 @@ FROM items JOIN docs USING (k, g) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
-ORACLE: dict[str, str] = {"op6_substring": SUBSTRING, "op10_decontaminate": LEAKS}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _licenses() -> str:
+    """Every phrase at every word, and every template against every block, without filters."""
+    phrases = ", ".join(f"('{p}', '{label}', {p.count(' ') + 1})" for p, label in PHRASES)
+    templates = ", ".join(
+        f"('{label}', string_split('{' '.join(held)}', ' '), {len(held)}, {needed(len(held), THRESHOLD)})"
+        for label, text in TEMPLATES
+        for held in [sorted(set(text.split()))]
+    )
+    return f"""
+WITH held AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, {_WORD}) AS ws, string_split({_LOWERED}, chr(10)) AS lines FROM documents
+), phrases(phrase, label, n) AS (VALUES {phrases}),
+starts AS (
+  SELECT doc_id, label, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM held), phrases
+  WHERE ws[i] = string_split(phrase, ' ')[1] AND array_to_string(ws[i : i + n - 1], ' ') = phrase
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word,
+    list_sort(list(DISTINCT label)) AS labels
+  FROM starts GROUP BY doc_id
+), templates(label, t, size, needed) AS (VALUES {templates}),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(lines[i] || ' ' || coalesce(lines[i + 1], ''), {_WORD})) AS b
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM held)
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(t, b)) / size) AS best
+  FROM blocks, templates WHERE len(list_intersect(t, b)) >= needed GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(
+    coalesce(base.labels, []::VARCHAR[]) || coalesce(found.labels, []::VARCHAR[]))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM held LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLE: dict[str, str] = {"op5_licenses": _licenses(), "op6_substring": SUBSTRING, "op10_decontaminate": LEAKS}

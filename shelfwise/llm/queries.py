@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontaminate, packing, quality, simhash, substring
+from shelfwise.llm import decontaminate, licenses, packing, quality, simhash, substring
 from shelfwise.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -21,6 +21,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and the licenses whose templates a block of it contains."""
+    return licenses.op5(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, those in repeated passages, and a digest of the rest."""
     return substring.op6(_table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
     "op6_substring": op6_substring,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
