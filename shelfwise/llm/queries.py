@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontaminate, licenses, packing, quality, simhash, substring
+from shelfwise.llm import decontaminate, licenses, packing, quality, simhash, substring, toxicity
 from shelfwise.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, decision and number of toxic passages."""
+    return toxicity.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score and decision."""
     return quality.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
     "op6_substring": op6_substring,
