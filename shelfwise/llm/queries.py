@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontaminate, licenses, packing, quality, simhash, substring, toxicity
+from shelfwise.llm import decontaminate, fingerprint, language, licenses, packing, quality, simhash, substring, toxicity
 from shelfwise.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    return language.op3(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score and decision."""
     return quality.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -46,6 +51,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and its class of near duplicates."""
+    return fingerprint.op9(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains."""
     return decontaminate.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,10 +63,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
     "op6_substring": op6_substring,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
