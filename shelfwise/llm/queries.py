@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontaminate, fingerprint, language, licenses, packing, quality, simhash, substring, toxicity
+from shelfwise.llm import decontaminate, fingerprint, html, language, licenses, packing, quality, simhash, substring, toxicity
 from shelfwise.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html.op1(_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, decision and number of toxic passages."""
     return toxicity.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -62,6 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
