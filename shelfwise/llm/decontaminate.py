@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.stage import stage
 from shelfwise.llm.text import ALNUM, LOWER, arrow_rows, shingles, slices, words
 
 SHINGLE_WORDS = 5
@@ -92,30 +91,57 @@ class ItemIndex:
         return where, self.owners[place]
 
 
+def _found(indexes: list[ItemIndex], texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, its size, shared shingles) of every pair at or over the threshold."""
+    for first, _, data, offsets in slices(texts):
+        found = words(data, offsets, ALNUM, lower=True)
+        for index in indexes:
+            hashes, bounds = shingles(found, index.k)
+            where, item = index.candidates(hashes)
+            text = np.searchsorted(bounds, where, side="right") - 1
+            held, held_of = set(), -1
+            for t, i in sorted(set(zip(text.tolist(), item.tolist()))):
+                if t != held_of:
+                    held = shingle_set(text_words(data[offsets[t] : offsets[t + 1]].tobytes()), index.k)
+                    held_of = t
+                size, shared = len(index.sets[i]), len(index.sets[i] & held)
+                if shared >= needed(size, index.threshold):
+                    yield first + t, index.items[i], size, shared
+
+
 def _search(indexes: list[ItemIndex]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, _, data, offsets in slices(batch.column("text")):
-                found, rows = words(data, offsets, ALNUM, lower=True), []
-                for index in indexes:
-                    hashes, bounds = shingles(found, index.k)
-                    where, item = index.candidates(hashes)
-                    text = np.searchsorted(bounds, where, side="right") - 1
-                    held, held_of = set(), -1
-                    for t, i in sorted(set(zip(text.tolist(), item.tolist()))):
-                        if t != held_of:
-                            held = shingle_set(text_words(data[offsets[t] : offsets[t + 1]].tobytes()), index.k)
-                            held_of = t
-                        size, shared = len(index.sets[i]), len(index.sets[i] & held)
-                        if shared >= needed(size, index.threshold):
-                            rows.append((ids[first + t].as_py(), index.items[i], size, shared, shared / size))
-                if rows:
-                    yield arrow_rows(_SCHEMA, **{n: [r[j] for r in rows] for j, n in enumerate(_SCHEMA.names)})
+            rows = [(ids[r].as_py(), i, n, s, s / n) for r, i, n, s in _found(indexes, batch.column("text"))]
+            yield arrow_rows(_SCHEMA, **{n: [r[j] for r in rows] for j, n in enumerate(_SCHEMA.names)})
+
+    return run
+
+
+def _sift(indexes: list[ItemIndex], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[[r for r, *_ in _found(indexes, batch.column(at))]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
+def item_blocks(items: DataFrame, k: int, threshold: float, block_bytes: int) -> Iterator[list[ItemIndex]]:
+    """The items in blocks of about ``block_bytes`` of text, each as indexes by shingle length."""
+    plain = items.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null")
+    total = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    blocks = max(1, math.ceil(2 * total / block_bytes))
+    numbered = plain.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for block in range(blocks):
+        by_length = defaultdict(list)
+        for r in numbered.where(F.col("block") == block).select("item_id", "text").collect():
+            by_length[min(k, len(text_words(r.text.encode())))].append((r.item_id, r.text.encode()))
+        yield [ItemIndex(members, n, threshold) for n, members in sorted(by_length.items()) if n]
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -124,22 +150,11 @@ def contained_items(
     Items with no word (null, empty, punctuation) match nothing; items shorter than k words are one shingle of their own
     length. Null texts hold nothing. Repeated rows give repeated pairs. Null ids stay null.
     """
-    plain = items.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null")
-    # blocks by a running sum of sizes within a fixed number of shares, so no share is larger than a block
-    total = plain.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = max(1, math.ceil(2 * total / block_bytes))
-    numbered = plain.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
-    for block in range(blocks):
-        held = numbered.where(F.col("block") == block).select("item_id", "text").collect()
-        by_length = defaultdict(list)
-        for r in held:
-            by_length[min(k, len(text_words(r.text.encode())))].append((r.item_id, r.text.encode()))
-        indexes = [ItemIndex(members, n, threshold) for n, members in sorted(by_length.items()) if n]
+    for indexes in item_blocks(items, k, threshold, block_bytes):
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             _search(indexes), "doc_id long, item_id long, n_item long, n_shared long, containment double"
         )
-        part = part if blocks == 1 else stage(part, "leaks")
         found = part if found is None else found.union(part)
     return found
 
@@ -148,10 +163,14 @@ def op10(docs: DataFrame, items: DataFrame) -> DataFrame:
     return contained_items(docs, items)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that contain no test item; rows with a null doc_id are judged by their text alone."""
-    columns = docs.columns
-    leaks = contained_items(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), items)
-    gone = leaks.select(F.col("doc_id").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+def clean(
+    docs: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Rows whose text contains no test item at or over the threshold, unchanged; nothing is shuffled.
+
+    A row is judged by its text alone, whatever its id; null texts stay.
+    """
+    kept = docs
+    for indexes in item_blocks(items, k, threshold, block_bytes):
+        kept = kept.mapInArrow(_sift(indexes, docs.columns.index("text")), docs.schema)
+    return kept

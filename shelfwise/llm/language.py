@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.labelled import fold
+from shelfwise.llm.stage import free_name
 from shelfwise.llm.text import slices
 
 WINDOW = 128
@@ -175,17 +176,19 @@ def model(docs: DataFrame) -> Network | None:
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows of ``docs`` with lang_pred and lang_score (0 to 1); ``und`` and 0 where the text is null or has no letter.
 
-    Without a model (nothing to learn from) every row is ``und``.
+    Without a model (nothing to learn from) every row is ``und``. Columns of the new names are replaced.
     """
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _best string, _share double"
+    docs = docs.drop("lang_pred", "lang_score")
+    names, text = docs.columns, docs.columns.index("text")
+    found, sure = free_name("best", names), free_name("share", names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {found} string, {sure} double"
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_net = sent.value
         for batch in batches:
             best, share = [], []
-            for _, _, data, offsets in slices(pc.utf8_lower(batch.column("text").cast(pa.string())), 1 << 19):
+            for _, _, data, offsets in slices(pc.utf8_lower(batch.column(text).cast(pa.string())), 1 << 19):
                 if held_net is None:
                     best += [UNKNOWN] * (len(offsets) - 1)
                     share += [0.0] * (len(offsets) - 1)
@@ -205,14 +208,14 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 best += [held_net.languages[i] for i in at]
                 share += p[np.arange(len(at)), at].tolist()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[*names, "_best", "_share"]
+                [*batch.columns, pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[*names, found, sure]
             )
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.mapInArrow(run, schema).select(
-        *names,
-        F.when(lettered, F.col("_best")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(lettered, F.col("_share")).otherwise(0.0).alias("lang_score"),
+        *[F.col(f"`{n}`") for n in names],
+        F.when(lettered, F.col(found)).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(lettered, F.col(sure)).otherwise(0.0).alias("lang_score"),
     )
 
 

@@ -140,14 +140,15 @@ def train(rows: DataFrame, passes: int = 3) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The rows of ``docs`` with ``quality_score`` (0 to 1); null texts score as empty."""
-    names = docs.columns
+    """The rows of ``docs`` with ``quality_score`` (0 to 1); null texts score as empty. A column of that name is replaced."""
+    docs = docs.drop("quality_score")
+    names, text = docs.columns, docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [dot(sent.value, data, offsets) for _, _, data, offsets in slices(batch.column("text"))]
+            made = [dot(sent.value, data, offsets) for _, _, data, offsets in slices(batch.column(text))]
             value = 1 / (1 + np.exp(-np.clip(np.concatenate(made), -35, 35))) if made else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*names, "quality_score"])
 
@@ -171,6 +172,6 @@ def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents the classifier does not reject, unchanged."""
-    renamed = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"_c{i}") for i, c in enumerate(docs.columns)])
-    kept = score(renamed, model(docs, labels)).where(F.col("quality_score") >= THRESHOLD)
-    return kept.select(*[F.col("text" if c == "text" else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    numbered = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = score(numbered, model(docs, labels)).where(F.col("quality_score") >= THRESHOLD)
+    return kept.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

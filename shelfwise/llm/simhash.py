@@ -55,16 +55,17 @@ def fingerprint_of(text: bytes, k: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and the 64-bit fingerprint (as a signed long) of each row's whole text; null texts are empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, text_hash and the 64-bit fingerprint (as a signed long) of each row's whole text; null texts are empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             made = np.array([fingerprint_of(t.as_py() or b"", k) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(made)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return named.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 @lru_cache(maxsize=8)
@@ -168,7 +169,7 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links of ``radius`` bits or fewer).
+    """doc_id, text_hash, fp and component_id (smallest doc_id reachable over links of ``radius`` bits or fewer).
 
     Rows with a null doc_id keep a fingerprint and link others; a component of null ids alone has a null id.
     Repeated rows share a fingerprint and a component. Texts without words have fingerprint 0 and link like others.
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIU
     classes = groups.join(placed, "fp", "left").select(
         "fp", F.coalesce("least_doc", "first_doc").alias("component_id")
     )
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -198,9 +199,9 @@ def op8(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without all but one of each near-duplicate group: the row of the smallest doc_id stays.
 
-    Rows with a null doc_id stay; of rows repeated under the kept doc_id one text stays (the smallest).
+    Rows of the same id and text count once. Rows of one id with different texts are judged each by their own group.
+    Rows with a null doc_id are never the one to go, save for repeats. All columns pass unchanged.
     """
-    columns = docs.columns
-    found = near_duplicates(docs).where("doc_id is not null and doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*columns)
+    gone = near_duplicates(docs).where("doc_id > component_id").select("doc_id", "text_hash").distinct()
+    lost = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, lost, "left_anti").dropDuplicates(["doc_id", "text"])

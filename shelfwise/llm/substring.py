@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.stage import stage
+from shelfwise.llm.stage import free_name, stage
 from shelfwise.llm.text import Runs, Words, arrow_rows, mixed, slices, words
 
 WINDOW_WORDS = 50
@@ -236,18 +236,17 @@ def _without(text: bytes, spans: list | None) -> tuple[int, int, str, bytes]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WORDS) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed, kept_sha256 and kept (the text without the removed words).
 
-    A null text has no words and stays null in ``kept``. Other columns pass unchanged, those named like the new ones
-    must be renamed by the caller.
+    A null text has no words and stays null in ``kept``; an empty text stays empty. Repeated rows of one id and text lose
+    the same words. Columns of the new names are replaced, all others pass unchanged.
     """
-    clash = {"n_words", "n_removed", "kept_sha256", "kept", "_spans", "_text_hash"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename columns first: {sorted(clash)}")
+    docs = docs.drop(*_KEPT_SCHEMA.names)
+    own_spans = free_name("spans", docs.columns)
     spans = (
         repeats(docs, window, k)
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("first", "last")).alias("spans"))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("text_hash", "spans")).alias("_spans"))
+        .agg(F.collect_list(F.struct("text_hash", "spans")).alias(own_spans))
     )
     columns = docs.columns
     out_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
@@ -255,8 +254,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            asked = batch.column("_spans")
-            texts = batch.column("text").cast(pa.binary())
+            asked = batch.column(own_spans)
+            texts = batch.column(columns.index("text")).cast(pa.binary())
             for i in range(batch.num_rows):
                 text, spans = texts[i].as_py(), asked[i].as_py()
                 if spans:
@@ -265,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
                     own = int(Runs(found.hashes).hash(found.bounds[:-1], found.bounds[1:]).view(np.int64)[0])
                     spans = [(s["first"], s["last"]) for x in spans if x["text_hash"] == own for s in x["spans"]]
                 made.append((*_without(text or b"", spans),) if text is not None else (0, 0, _EMPTY, None))
-            fields = [batch.column(c) for c in columns] + [
+            fields = batch.columns[: len(columns)] + [
                 pa.array([m[0] for m in made], pa.int64()),
                 pa.array([m[1] for m in made], pa.int64()),
                 pa.array([m[2] for m in made], pa.string()),
@@ -275,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
 
     return (
         docs.join(spans, "doc_id", "left")
-        .select(*columns, "_spans")
+        .select(*[F.col(f"`{c}`") for c in columns], F.col(own_spans))
         .mapInArrow(run, ", ".join(out_fields) + ", n_words long, n_removed long, kept_sha256 string, kept string")
     )
 
@@ -288,17 +287,19 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated passages; a document of which nothing is left goes, the rest keep their spacing."""
-    columns = docs.columns
-    # only what the operator needs takes part under its own name
-    plain = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_c{i}") for i, c in enumerate(columns)])
+    """Documents without their repeated passages; a document of which nothing is left goes, the rest keep their spacing.
+
+    Of the other columns only n_chars changes, and only where words went.
+    """
+    # the columns pass under numbers, so that none clashes with the operator's own
+    plain = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"c{i}") for i, c in enumerate(docs.columns)])
     found = remove_repeats(plain).where("n_removed = 0 or n_removed < n_words")
     out = []
-    for i, c in enumerate(columns):
+    for i, c in enumerate(docs.columns):
+        own = F.col(c if c in ("doc_id", "text") else f"c{i}")
         if c == "text":
-            out.append(F.col("kept").alias("text"))
+            own = F.col("kept")
         elif c == "n_chars":
-            out.append(F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col(f"_c{i}")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(c if c == "doc_id" else f"_c{i}").alias(c))
+            own = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(own)
+        out.append(own.alias(c))
     return found.select(*out)

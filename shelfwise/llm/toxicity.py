@@ -220,8 +220,10 @@ _PASSAGE = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``toxicity`` (0 to 1) and ``passages``: the segments that chance gives a text of its length
-    with less than ``SIGNIFICANT``, as first and last word (from 0) and sum. Null and empty texts have none and score lowest."""
-    names = docs.columns
+    with less than ``SIGNIFICANT``, as first and last word (from 0) and sum. Null and empty texts have none and score lowest.
+    Columns of the new names are replaced."""
+    docs = docs.drop("toxicity", "passages")
+    names, text = docs.columns, docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -229,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         held = sent.value
         for batch in batches:
             evidence, passages = [], []
-            for _, _, data, offsets in slices(batch.column("text")):
+            for _, _, data, offsets in slices(batch.column(text)):
                 found = words(data, offsets, ALNUM, lower=True)
                 values = held.word_scores(found, data)
                 for a, b in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist()):
