@@ -352,8 +352,11 @@ class Labeller:
         return grads
 
 
-def train(pages: list[list[Leaf]], epochs: int = 8, size: int = 24, rate: float = 8e-3) -> Labeller:
-    """Fit on leaf sequences, labelled by their markup, with a fresh variant of every page in every pass."""
+def train(pages: list[list[Leaf]], shown_pages: int = 10_000, size: int = 24, rate: float = 1.5e-2) -> Labeller:
+    """Fit on leaf sequences, labelled by their markup, with a fresh variant of every page in every pass.
+
+    There are as many passes as show ``shown_pages`` pages and variants in all, so few pages are seen more often.
+    """
     net = Labeller.fresh()
     pages = [p for p in pages if p]
     if not pages:
@@ -362,6 +365,7 @@ def train(pages: list[list[Leaf]], epochs: int = 8, size: int = 24, rate: float
     texts = [l.text[:400] for p in pages[:200] for l in p[:40]]
     first = {n: np.zeros_like(a) for n, a in net.weights.items()}
     second = {n: np.zeros_like(a) for n, a in net.weights.items()}
+    epochs = -(-shown_pages // (2 * len(pages)))
     step, total = 0, epochs * -(-2 * len(pages) // size)
     for _ in range(epochs):
         shown = [(p, np.array([named(l.path) for l in p])) for p in pages] + [_variant(p, texts, rng) for p in pages]
@@ -424,8 +428,10 @@ def labelled(pages: list[list[Leaf]], net: Labeller) -> list[np.ndarray]:
 
 
 def extract(pages: DataFrame, net: Labeller) -> DataFrame:
-    """The rows of ``pages`` with main_text and blocks (each leaf's text and label). A null or empty page has an empty text."""
-    names = pages.columns
+    """The rows of ``pages`` with main_text and blocks (each leaf's text and label). A null or empty page has an empty text.
+    Columns of the new names are replaced."""
+    pages = pages.drop("main_text", "blocks")
+    names, source = pages.columns, pages.columns.index("html")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
     sent = pages.sparkSession.sparkContext.broadcast(net)
     kind = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_())]))
@@ -434,7 +440,7 @@ def extract(pages: DataFrame, net: Labeller) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                held = [leaves(h.as_py() or "") for h in batch.column("html")]
+                held = [leaves(h.as_py() or "") for h in batch.column(source)]
                 marks = labelled(held, sent.value)
                 texts = ["\n".join(l.text for l, m in zip(p, y.tolist()) if m) for p, y in zip(held, marks)]
                 blocks = [[{"text": l.text, "article": m} for l, m in zip(p, y.tolist())] for p, y in zip(held, marks)]
