@@ -93,7 +93,7 @@ def volume_consistency(raw: DataFrame, price_floor: float = S.PRICE_FLOOR) -> Da
 
 
 def volume_by_retailer(
-    raw: DataFrame, subcategory: str, price_floor: float = S.PRICE_FLOOR
+    raw: DataFrame, subcategory: str | Column, price_floor: float = S.PRICE_FLOOR
 ) -> DataFrame:
     """Median volume per unit by retailer for the subcategory's most frequent product."""
     rows = _volume_rows(raw.where(F.col("subcategory_nm") == subcategory), price_floor)
@@ -159,7 +159,7 @@ def placeholder_signature(raw: DataFrame, price_floor: float = S.PRICE_FLOOR) ->
 
 
 def price_histogram(raw: DataFrame, bins: int = 80) -> DataFrame:
-    """Rows per equal-width bin of log10(price); the last bin includes the maximum."""
+    """Rows per equal-width bin of log10(price), empty bins too; the last bin includes the maximum."""
     logs = raw.where(price_per_pack() > 0).select(F.log10(price_per_pack()).alias("lp"))
     ends = logs.agg(F.struct(F.min("lp").alias("lo"), F.max("lp").alias("hi")).alias("e")).scalar()
     lo, hi = ends.getField("lo"), ends.getField("hi")
@@ -168,7 +168,12 @@ def price_histogram(raw: DataFrame, bins: int = 80) -> DataFrame:
         F.coalesce(F.floor(F.try_divide((F.col("lp") - lo) * bins, hi - lo)), F.lit(0)),
     ).cast("int")
     counts = logs.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.select("bin", (lo + F.col("bin") * (hi - lo) / bins).alias("left_edge"), "rows")
+    every = raw.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin",
+        (lo + F.col("bin") * (hi - lo) / bins).alias("left_edge"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+    )
 
 
 def _duplicate_keys(raw: DataFrame, *aggregates: Column) -> DataFrame:

@@ -9,6 +9,8 @@ parameters, not by the data) pass through the driver.
 
 from __future__ import annotations
 
+import warnings
+import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,10 +28,7 @@ from shelfwise.functions.ordered import exact_quantiles
 from shelfwise.operators import scores
 from shelfwise.sources.staging import stage
 
-SEED_POINTS = 4096
-MAX_ITERATIONS = 100
-# Up to this many tasks hand their sums to the driver as they are; more are added up on Spark first.
-FEW_TASKS = 16
+MAX_ITERATIONS = 300
 _CHUNK = 1024
 
 
@@ -46,29 +45,88 @@ class Run:
 
 @dataclass(frozen=True)
 class Fit:
-    """Best restart of a run: centres (k x d), inertia, and every restart's inertia and centres."""
+    """Best restart of a run: centres (k x d), their inertia, and every restart's inertia and centres.
+
+    ``converged`` says whether every restart's centres stood still before the iterations ran out.
+    """
 
     centres: np.ndarray
     inertia: float
     restarts: list[tuple[float, np.ndarray]]
+    converged: bool = True
 
     def best_of(self, count: int) -> tuple[float, np.ndarray]:
         return min(self.restarts[:count], key=lambda r: r[0])
 
 
-def _start_centres(x: np.ndarray, run: Run, restart: int) -> np.ndarray:
-    """Starting centres among the seed points: spread by squared distance, or plain random."""
-    rng = np.random.default_rng([run.seed, restart, run.k, 0 if run.member is None else run.member])
-    if run.init == "random":
-        return x[rng.choice(len(x), run.k, replace=len(x) < run.k)]
-    chosen = [x[rng.integers(len(x))]]
-    nearest = ((x - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < run.k:
-        weight = nearest.sum()
-        pick = rng.choice(len(x), p=nearest / weight) if weight > 0 else rng.integers(len(x))
-        chosen.append(x[pick])
-        nearest = np.minimum(nearest, ((x - chosen[-1]) ** 2).sum(axis=1))
-    return np.array(chosen)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number scrambled, so that neighbouring inputs give unrelated outputs."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _proposals(
+    centres: np.ndarray, chosen: int, spread: np.ndarray, salt: np.ndarray, member: np.ndarray
+) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's next starting centre for every fit: the point with the least -ln(u) / weight.
+
+    u is drawn from a hash of the product and the fit, so the least over all tasks is a draw with
+    probability in proportion to the weight, however the points are partitioned. The weight is the
+    squared distance to the centres chosen so far, or one for a plain random start; chosen points
+    weigh nothing and are taken again only when there is no other.
+    """
+
+    def propose(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full(len(centres), np.inf)
+        point: list = [None] * len(centres)
+        for batch in batches:
+            x = np.vstack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, 1))
+            for at in range(0, len(x), _CHUNK):
+                part = x[at : at + _CHUNK]
+                seeds = batch["h"].to_numpy()[at : at + _CHUNK].astype(np.int64).view(np.uint64)
+                u = _mixed(_mixed(seeds)[:, None] ^ salt[None, :]).astype(float) + 0.5
+                score = -np.log(u / 2.0**64)
+                gap = np.full((len(part), len(centres)), np.inf)
+                for c in range(chosen):
+                    gap = np.minimum(gap, ((part[:, None, :] - centres[None, :, c]) ** 2).sum(axis=2))
+                weight = np.where(spread[None, :] & (chosen > 0), gap, (gap > 0).astype(float))
+                score = np.where(weight > 0, score / np.maximum(weight, 1e-300), 1e200 + score)
+                if (member >= 0).any():
+                    flags = np.vstack(batch["members"].to_numpy()[at : at + _CHUNK])
+                    inside = np.where(member >= 0, flags[:, member], True)
+                    score = np.where(inside, score, np.inf)
+                least = score.argmin(axis=0)
+                for fit in np.flatnonzero(score.min(axis=0) < best):
+                    best[fit], point[fit] = score[least[fit], fit], part[least[fit]]
+        rows = [(i, b, p.tolist()) for i, (b, p) in enumerate(zip(best, point)) if p is not None]
+        yield pd.DataFrame(rows, columns=["slot", "score", "x"])
+
+    return propose
+
+
+def _start_centres(
+    table: DataFrame, runs: Sequence[Run], owner: list[tuple[int, int]], d: int
+) -> np.ndarray:
+    """Starting centres of every fit, drawn among all points: one pass a centre serves all fits."""
+    centres = np.zeros((len(owner), max(r.k for r in runs), d))
+    spread = np.array([runs[i].init != "random" for i, _ in owner])
+    member = np.array([-1 if runs[i].member is None else runs[i].member for i, _ in owner])
+    names = [(runs[i].seed, restart, runs[i].k, member[f], int(spread[f])) for f, (i, restart) in enumerate(owner)]
+    for step in range(centres.shape[1]):
+        open_ = np.array([f for f, (i, _) in enumerate(owner) if runs[i].k > step])
+        salt = np.array([zlib.crc32(repr((*map(int, names[f]), step)).encode()) for f in open_], dtype=np.uint64)
+        propose = _proposals(centres[open_], step, spread[open_], _mixed(salt + np.uint64(1)), member[open_])
+        rows = (
+            table.select("h", "x", "members")
+            .mapInPandas(propose, "slot long, score double, x array<double>")
+            .groupBy("slot")
+            .agg(F.min_by("x", F.struct("score", "x")).alias("x"))
+            .collect()
+        )
+        for r in rows:
+            centres[open_[r["slot"]], step] = r["x"]
+    return centres
 
 
 def _sum_schema(d: int) -> T.StructType:
@@ -111,62 +169,62 @@ def _partial_sums(
     return add_up
 
 
-def fit_runs(points: DataFrame, runs: Sequence[Run]) -> list[Fit]:
+def fit_runs(
+    points: DataFrame, runs: Sequence[Run], max_iter: int = MAX_ITERATIONS
+) -> list[Fit]:
     """Fit every run with all its restarts by Lloyd's iterations, one Spark job per iteration.
 
     ``points`` holds ``x`` and, for resampled runs, ``members`` (array of booleans). Starting
-    centres come from at most ``SEED_POINTS`` hash-ordered points; every iteration, and so the
-    result, uses all points. Fits drop out once their centres stand still.
+    centres are drawn among all points and every iteration uses all points. Fits drop out once
+    their centres stand still; the inertia is that of the centres returned. A fit that still moves
+    after ``max_iter`` iterations is reported by ``converged`` and a warning.
     """
     if "members" not in points.columns:
         points = points.withColumn("members", F.array(F.lit(True)))
-    table = points.select(S.KEY, "x", "members")
+    table = points.select("x", "members", F.xxhash64(S.KEY).alias("h"))
     table.persist()
     try:
-        seeds = table.orderBy(F.xxhash64(S.KEY), S.KEY).limit(SEED_POINTS).collect()
-        x = np.array([r["x"] for r in seeds])
-        flags = np.array([r["members"] for r in seeds])
-        d, widest = x.shape[1], max(r.k for r in runs)
+        size = table.agg(
+            F.max(F.size("x")).alias("d"), F.max(F.array_max(F.transform("x", F.abs))).alias("far")
+        ).first()
+        d, scale = size["d"], max(1.0, size["far"])
         owner = [(i, r) for i, run in enumerate(runs) for r in range(run.restarts)]
-        centres = np.zeros((len(owner), widest, d))
-        valid = np.zeros((len(owner), widest), dtype=bool)
+        centres = _start_centres(table, runs, owner, d)
+        widest = centres.shape[1]
+        valid = np.array([np.arange(widest) < runs[i].k for i, _ in owner])
         member = np.array([-1 if runs[i].member is None else runs[i].member for i, _ in owner])
-        for at, (i, restart) in enumerate(owner):
-            run = runs[i]
-            mine = x if run.member is None else x[flags[:, run.member]]
-            centres[at, : run.k] = _start_centres(mine, run, restart)
-            valid[at, : run.k] = True
-        inertia = np.full(len(owner), np.inf)
-        moving = np.arange(len(owner))
         names = ["n", "cost", *[f"s{i}" for i in range(d)]]
-        few_tasks = table.rdd.getNumPartitions() <= FEW_TASKS
-        scale = max(1.0, float(np.abs(x).max()))
-        for _ in range(MAX_ITERATIONS):
-            step = _partial_sums(centres[moving], valid[moving], member[moving])
+
+        def added_up(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """New centres of the fits and the cost of the present ones."""
+            step = _partial_sums(centres[which], valid[which], member[which])
             partial = table.select("x", "members").mapInPandas(step, _sum_schema(d))
-            if few_tasks:
-                rows = partial.toPandas().groupby("slot", as_index=False)[names].sum()
-            else:
-                sums = [F.sum(c).alias(c) for c in names]
-                rows = partial.groupBy("slot").agg(*sums).toPandas()
-            new, cost = centres[moving].reshape(-1, d).copy(), np.zeros(len(moving) * widest)
+            rows = partial.groupBy("slot").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+            new, cost = centres[which].reshape(-1, d).copy(), np.zeros(len(which) * widest)
             slots = rows["slot"].to_numpy()
             new[slots] = rows[[f"s{i}" for i in range(d)]].to_numpy() / rows[["n"]].to_numpy()
             cost[slots] = rows["cost"].to_numpy()
-            new = new.reshape(len(moving), widest, d)
+            return new.reshape(len(which), widest, d), cost.reshape(len(which), widest).sum(axis=1)
+
+        moving = np.arange(len(owner))
+        for _ in range(max_iter):
+            new, _ = added_up(moving)
             shift = np.abs(new - centres[moving]).max(axis=(1, 2))
             centres[moving] = new
-            inertia[moving] = cost.reshape(len(moving), widest).sum(axis=1)
             moving = moving[shift > 1e-10 * scale]
             if len(moving) == 0:
                 break
+        _, inertia = added_up(np.arange(len(owner)))
     finally:
         table.unpersist()
+    still = {owner[at][0] for at in moving}
+    if still:
+        warnings.warn(f"{len(moving)} of {len(owner)} fits still move after {max_iter} iterations", stacklevel=2)
     found: list[list[tuple[float, np.ndarray]]] = [[] for _ in runs]
     for at, (i, _) in enumerate(owner):
         found[i].append((float(inertia[at]), centres[at, : runs[i].k]))
     best = [min(options, key=lambda r: r[0]) for options in found]
-    return [Fit(c, cost, options) for (cost, c), options in zip(best, found)]
+    return [Fit(c, cost, options, i not in still) for i, ((cost, c), options) in enumerate(zip(best, found))]
 
 
 def nearest(centres: np.ndarray) -> Column:
@@ -219,8 +277,20 @@ def fit_groups(
 
 
 def _labelled(points: DataFrame, labelings: Sequence[np.ndarray]) -> DataFrame:
-    labels = F.array(*[nearest(c) for c in labelings])
-    return points.select(S.KEY, "x", labels.alias("labels"))
+    """Key, x and one label per labeling, in one vectorised pass over the points."""
+
+    def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.vstack(batch["x"].to_numpy())
+            each = [((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1) for c in labelings]
+            batch["labels"] = list(np.stack(each, axis=1).astype(np.int32))
+            yield batch
+
+    table = points.select(S.KEY, "x")
+    schema = T.StructType([*table.schema.fields, T.StructField("labels", T.ArrayType(T.IntegerType()))])
+    return table.mapInPandas(assign, schema)
 
 
 def scan_k(
@@ -333,7 +403,10 @@ def split_biggest(
     restarts: int = S.RESTARTS,
     seed: int = S.SEED,
 ) -> DataFrame:
-    """The largest group split again, by the number of parts with the best silhouette."""
+    """The largest group split again, by the number of parts with the best silhouette.
+
+    A group with no more products than ``search`` asks parts for cannot be searched and is an error.
+    """
     biggest = (
         groups.groupBy("group")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -345,9 +418,9 @@ def split_biggest(
     members = groups.where(F.col("group") == biggest).select(S.KEY)
     part = stage(points.join(members, S.KEY, "left_semi"), "biggest")
     size = part.count()
-    ks = [k for k in range(search[0], search[1] + 1) if k < size]
-    if not ks:
-        return part.select(S.KEY, F.lit(0).alias("sub"))
+    if size <= search[1]:
+        raise ValueError(f"a group of {size} products cannot be split into up to {search[1]} parts")
+    ks = list(range(search[0], search[1] + 1))
     fits = fit_runs(part, [Run(k, restarts, seed) for k in ks])
     labelled = stage(_labelled(part, [f.centres for f in fits]), "biggest-labels")
     ranked = (
@@ -401,15 +474,6 @@ def setting_sweep(
     )
 
 
-def sweep_summary(sweep: DataFrame) -> DataFrame:
-    """Worst inertia, best silhouette and worst agreement per init and number of restarts."""
-    return sweep.groupBy("init", "restarts").agg(
-        F.max("inertia").alias("inertia"),
-        F.max("silhouette").alias("silhouette"),
-        F.min("agreement").alias("agreement"),
-    )
-
-
 def _mixture(k: int, seed: int, restarts: int) -> Callable[[DataFrame], DataFrame]:
     """Best of several Gaussian mixtures by log-likelihood."""
 
@@ -465,6 +529,23 @@ def method_compare(
     sampled = stage(with_resamples(points, times, fraction, seed), "method-points")
     vectors = sampled.withColumn("v", array_to_vector("x"))
     vectors.persist()
+    try:
+        return _methods(sampled, vectors, k, times, fraction, restarts, mixture_restarts, seed, parallelism)
+    finally:
+        vectors.unpersist()
+
+
+def _methods(
+    sampled: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    times: int,
+    fraction: float,
+    restarts: int,
+    mixture_restarts: int,
+    seed: int,
+    parallelism: int,
+) -> DataFrame:
     kmeans = fit_groups(sampled, k, restarts, seed)
     labels = {"kmeans": kmeans.transform(sampled, "label")}
     agreement = {"kmeans": stability(sampled, k, times, fraction, restarts, seed)}
@@ -495,9 +576,7 @@ def method_compare(
             balance.scalar().alias("balance"),
         )
         rows = row if rows is None else rows.unionByName(row)
-    result = stage(rows, "methods")
-    vectors.unpersist()
-    return result
+    return stage(rows, "methods")
 
 
 def grouping_agreement(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -87,39 +87,28 @@ def products_moved(
 def publish_gate(
     agreement: DataFrame, suggestions: DataFrame, bar: float = S.PUBLISH_BAR
 ) -> DataFrame:
-    """One row: publish or not, and the reason.
+    """One row: the bar, groups with and without an action, publish or not, and why.
 
     ``agreement`` is a one-row table with the column ``agreement``.
     """
     counts = suggestions.agg(
         F.struct(
             F.count(F.lit(1)).alias("groups"),
-            F.count_if(F.col("action") == S.UNDRILLED_ACTION).alias("drilled"),
+            F.count_if(F.col("action") == S.UNDRILLED_ACTION).alias("undrilled"),
         ).alias("c")
     ).scalar()
-    groups, drilled = counts.getField("groups"), counts.getField("drilled")
-    score = F.format_string("%.2f", "agreement")
-    stop = F.concat(
-        F.lit("Stop: resampled groups agree at "),
-        score,
-        F.lit(f", {bar:.2f} is needed. The previous groups stay live; a person has to look."),
-    )
-    go = F.concat(
-        F.lit("Publish: groups hold up at "),
-        score,
-        F.lit(". "),
-        (groups - drilled).cast("string"),
-        F.lit(" of "),
-        groups.cast("string"),
-        F.lit(" groups get an action; "),
-        drilled.cast("string"),
-        F.lit(" too mixed for one and split instead."),
-    )
-    ok = F.col("agreement") >= bar
+    groups, undrilled = counts.getField("groups"), counts.getField("undrilled")
+    reached = F.coalesce(F.col("agreement") >= bar, F.lit(False))
     return agreement.select(
         "agreement",
-        F.coalesce(ok, F.lit(False)).alias("publish"),
-        F.when(ok, go).otherwise(stop).alias("reason"),
+        F.lit(float(bar)).alias("bar"),
+        groups.alias("groups"),
+        (groups - undrilled).alias("actioned"),
+        undrilled.alias("undrilled"),
+        reached.alias("publish"),
+        F.when(reached, F.format_string("agreement %.2f reaches the bar", "agreement"))
+        .otherwise(F.format_string("agreement %.2f is below the bar: nothing is published", "agreement"))
+        .alias("reason"),
     )
 
 

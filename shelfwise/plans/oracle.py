@@ -15,7 +15,6 @@ from shelfwise.plans.queries import (
     LOOSE_ALPHA,
     LOOSE_EFFECT,
     MONEY,
-    TOP,
 )
 
 PANEL = """
@@ -443,7 +442,7 @@ WHERE rgm_ppg IN (SELECT rgm_ppg FROM meta WHERE n_weeks >= {ASIDE_WEEKS}) GROUP
 SELECT subcategory_nm, product_a, product_b, period_id,
        {_rounded(["units_a", "units_b", "price_a", "price_b"])} FROM pair_weeks""",
         _CLEAN,
-        _pairs(TOP),
+        _pairs(),
     ),
     "category_demand_join": _sql(
         """
@@ -545,7 +544,7 @@ FROM (SELECT DISTINCT format FROM formats) f
 CROSS JOIN (VALUES ('value'), ('mid'), ('premium')) AS d(band)
 LEFT JOIN (SELECT rgm_ppg, band, format FROM banded JOIN formats USING (rgm_ppg)) b
   ON b.format = f.format AND b.band = d.band
-GROUP BY f.format, d.band HAVING count(b.rgm_ppg) <= 12""",
+GROUP BY f.format, d.band HAVING count(b.rgm_ppg) <= 2""",
         _FEATURES,
     ),
     "mechanic_mix": _sql(
@@ -735,7 +734,7 @@ FROM sales GROUP BY retailer_nm""",
     "top_n_sellers": _sql(
         "SELECT subcategory_nm, rgm_ppg, total_units, cast(place AS int) AS place FROM tops",
         _CLEAN,
-        _pairs(TOP),
+        _pairs(),
     ),
     "strongest_links": _sql(
         """
@@ -798,7 +797,8 @@ FROM (SELECT CASE WHEN avg(v) > 0 THEN stddev_samp(v) / avg(v) END AS cv
     ),
     "volume_by_retailer": _sql(
         """
-, economy AS (SELECT * FROM kept WHERE subcategory_nm = 'ECONOMY')
+, economy AS (SELECT * FROM kept WHERE subcategory_nm = (
+  SELECT subcategory_nm FROM kept GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
 SELECT rgm_ppg, retailer_nm, round(quantile_cont(total_volume / total_units, 0.5), 6) AS median_vpu
 FROM economy
 WHERE rgm_ppg = (SELECT rgm_ppg FROM economy GROUP BY rgm_ppg ORDER BY count(*) DESC, 1 LIMIT 1)
@@ -819,10 +819,12 @@ FROM panel GROUP BY below_floor"""),
     "price_histogram": _sql(f"""
 , logs AS (SELECT log10({_PRICE}) AS lp FROM panel WHERE {_PRICE} > 0),
 ends AS (SELECT min(lp) AS lo, max(lp) AS hi FROM logs)
-SELECT cast(least(79, floor((lp - lo) * 80 / (hi - lo))) AS int) AS bin,
-       round(min(lo) + cast(least(79, floor((lp - lo) * 80 / (hi - lo))) AS int)
-             * (min(hi) - min(lo)) / 80, 6) AS left_edge,
-       count(*) AS rows FROM logs, ends GROUP BY bin"""),
+, filled AS (
+  SELECT cast(least(79, floor((lp - lo) * 80 / (hi - lo))) AS int) AS bin, count(*) AS n
+  FROM logs, ends GROUP BY 1)
+SELECT cast(b.bin AS int) AS bin, round(lo + b.bin * (hi - lo) / 80, 6) AS left_edge,
+       coalesce(n, 0) AS rows
+FROM ends, range(80) AS b(bin) LEFT JOIN filled ON filled.bin = b.bin"""),
     "duplicate_audit": _sql("""
 , dup AS (SELECT count(*) AS n FROM panel GROUP BY rgm_ppg, retailer_nm, period_id)
 SELECT cast(sum(n) FILTER (n > 1) AS bigint) AS duplicate_rows,
@@ -1029,12 +1031,10 @@ FROM both_runs""",
          count(*) FILTER (action = 'No single action') AS drilled FROM suggested)
 SELECT agreement, agreement >= 0.60 AS publish,
        CASE WHEN agreement >= 0.60
-            THEN printf('Publish: groups hold up at %.2f. %d of %d groups get an action; '
-                        || '%d too mixed for one and split instead.',
-                        agreement, groups - drilled, groups, drilled)
-            ELSE printf('Stop: resampled groups agree at %.2f, 0.60 is needed. '
-                        || 'The previous groups stay live; a person has to look.', agreement)
-       END AS reason FROM gate""",
+            THEN printf('agreement %.2f reaches the bar', agreement)
+            ELSE printf('agreement %.2f is below the bar: nothing is published', agreement)
+       END AS reason, cast(0.60 AS double) AS bar, groups, groups - drilled AS actioned, drilled AS undrilled
+FROM gate""",
         BOTH,
         PROFILE,
         _ari("both_runs", "group_before", "group_after"),

@@ -36,7 +36,6 @@ ASIDE_WEEKS = 150
 K = 3
 LOOSE_ALPHA = 20.0
 LOOSE_EFFECT = 0.10
-TOP = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,8 +189,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     sales = _staged_sales(spark, sf)
     return tidy(
-        sales.select(*S.GRAIN, "total_units", "total_sales", "acv_pct", "price_per_pack"),
-        total_sales=2,
+        sales.select(*S.GRAIN, "total_units", "total_sales", "acv_pct", "price_per_pack")
     )
 
 
@@ -279,7 +277,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pair_weeks_selfjoin")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = links.pair_weeks(links.weekly_prices(_sales(spark, sf)), TOP)
+    pairs = links.pair_weeks(links.weekly_prices(_sales(spark, sf)))
     return tidy(
         pairs.select(*links.PAIR, "period_id", "units_a", "units_b", "price_a", "price_b")
     )
@@ -383,7 +381,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("thin_cells")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.thin_cells(_with_format(spark, sf), at_most=12)
+    return reports.thin_cells(_with_format(spark, sf))
 
 
 @query("mechanic_mix")
@@ -529,7 +527,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("top_n_sellers")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return links.top_n_sellers(links.weekly_prices(_sales(spark, sf)), TOP)
+    return links.top_n_sellers(links.weekly_prices(_sales(spark, sf)))
 
 
 @query("strongest_links")
@@ -593,7 +591,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("volume_by_retailer")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(audit.volume_by_retailer(pos_panel(spark, sf), "ECONOMY", FLOOR))
+    top = links.top_subcategory(_kept(spark, sf)).select("subcategory_nm").scalar()
+    return tidy(audit.volume_by_retailer(pos_panel(spark, sf), top, FLOOR))
 
 
 @query("id_fanout")

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
-_local_roots: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only for local masters."""
+    """The shared folder the session names, else one in its warehouse, which is shared as well."""
     root = spark.conf.get(_DIR_KEY, None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_DIR_KEY} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="shelfwise-stage-")
-    return _local_roots[app]
+    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

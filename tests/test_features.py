@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from panels import movement_by_numpy, planted
+from panels import movement_by_numpy, shaped
 from pyspark.sql import functions as F
 
 from shelfwise import settings as S
@@ -12,14 +12,14 @@ from shelfwise.operators import audit, clean, features, reports
 def panel():
     """Products of every length at which a rule changes, planted trends, no promotion at all."""
     lengths = [7, 8, 25, 26, 51, 52, 103, 104]
-    parts = [planted(f"LEN{n:03d}", weeks=n, seed=n, promo_rate=0.4) for n in lengths]
+    parts = [shaped(f"LEN{n:03d}", weeks=n, seed=n, deals=0.4) for n in lengths]
     parts += [
-        planted("GROW", trend=0.004, seed=1),
-        planted("SHRINK", trend=-0.004, seed=2),
-        planted("SEASONAL", swing=0.9, seed=3),
-        planted("FLAT", swing=0.02, seed=4),
-        planted("NOPROMO", promo_rate=0.0, seed=5),
-        planted("CHEAP", price=2.0, seed=6, weeks=60),
+        shaped("GROW", drift=0.005, seed=1),
+        shaped("SHRINK", drift=-0.005, seed=2),
+        shaped("SEASONAL", wave=0.7, seed=3),
+        shaped("FLAT", wave=0.01, seed=4),
+        shaped("NOPROMO", deals=0.0, seed=5),
+        shaped("CHEAP", price=2.5, seed=6, weeks=60),
     ]
     table = pd.concat(parts, ignore_index=True)
     gaps = (table.rgm_ppg == "GROW") & table.period_id.isin(table.period_id.unique()[10:14])
@@ -91,11 +91,11 @@ def test_smoothing_with_an_even_width_looks_further_back(spark):
 
 
 def test_cleaning_rules(spark):
-    base = planted("P", weeks=14, stores=1, promo_rate=0)
+    base = shaped("P", weeks=14, stores=1, deals=0)
     twin = base.assign(product_id="P-2", acv_pct=95.0)
     cheap = base.head(3).assign(total_sales=base.total_units.head(3) * 0.02)
     none = base.head(2).assign(total_units=0.0)
-    short = planted("NEW", weeks=12, stores=1)
+    short = shaped("NEW", weeks=12, stores=1)
     raw = spark.createDataFrame(pd.concat([base, twin, cheap, none, short]))
     sales = clean.clean_panel(raw)
     rows = sales.orderBy("period_id").toPandas()
@@ -106,9 +106,9 @@ def test_cleaning_rules(spark):
 
 
 def test_duplicates_and_constancy(spark):
-    base = planted("P", weeks=5, stores=1)
+    base = shaped("P", weeks=5, stores=1)
     twin = base.assign(product_id="P-2")
-    raw = spark.createDataFrame(pd.concat([base, twin, planted("Q", weeks=5, stores=1)]))
+    raw = spark.createDataFrame(pd.concat([base, twin, shaped("Q", weeks=5, stores=1)]))
     found = audit.duplicate_audit(raw).first()
     assert (found.duplicate_rows, found.duplicate_keys) == (10, 5)
     differs = {r.column: r.share for r in audit.duplicate_differs(raw, ["product_id", "uom"]).collect()}

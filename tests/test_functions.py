@@ -82,3 +82,17 @@ def test_a_bad_date_stops_the_job(spark):
     table = spark.createDataFrame([("1/2/2024",), ("2024-01-02",)], "period_id string")
     with pytest.raises(PySparkException, match="is not a M/d/yyyy date"):
         pos_csv.parse_period(table).collect()
+
+
+def test_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("retailer_nm,period_id,total_units,total_sales\nA,1/2/2024,2,200\n")
+    (tmp_path / "b.csv").write_text("retailer_nm,period_id,total_sales,total_units\nB,1/2/2024,200,2\n")
+    for columns in (["retailer_nm"], ["retailer_nm", "total_units"]):
+        with pytest.raises(Exception, match="header"):
+            pos_csv.read_panel(spark, str(tmp_path)).select(*columns).collect()
+
+
+def test_a_bad_date_stops_a_job_that_reads_no_date(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("retailer_nm,period_id,total_units\nA,1/2/2024,2\nB,bad,1\n")
+    with pytest.raises(PySparkException, match="is not a M/d/yyyy date"):
+        pos_csv.read_panel(spark, str(tmp_path)).agg({"total_units": "sum"}).collect()

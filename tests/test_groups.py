@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from panels import planted
+from panels import shaped
 from pyspark.sql import functions as F
 
 from shelfwise import settings as S
@@ -15,12 +15,12 @@ from shelfwise.sources.staging import stage
 def raw(spark):
     """Three kinds of product, eight of each."""
     kinds = {
-        "EXP": dict(level=300, price=8.0, elasticity=-0.6, promo_rate=0.05, trend=0.001),
-        "PROMO": dict(level=3000, price=2.0, elasticity=-2.5, promo_rate=0.45, trend=-0.001),
-        "SEAS": dict(level=800, price=4.0, elasticity=-1.2, promo_rate=0.15, trend=0.004, swing=0.9),
+        "DEAR": dict(base=250, price=11.0, deals=0.04, lift=0.2, drift=0.001),
+        "DEAL": dict(base=2600, price=2.2, deals=0.5, lift=1.4, drift=-0.003),
+        "YEARLY": dict(base=900, price=5.0, deals=0.15, drift=0.006, wave=0.7),
     }
     parts = [
-        planted(f"{kind}{i}", seed=100 * at + i, **how)
+        shaped(f"{kind}{i}", seed=40 * at + i, **how)
         for at, (kind, how) in enumerate(kinds.items())
         for i in range(8)
     ]
@@ -85,12 +85,42 @@ def test_silhouette_in_blocks_equals_numpy(spark):
         assert got[f"p{i}"] == pytest.approx(want, abs=1e-12)
 
 
-def test_many_tasks_and_few_tasks_fit_alike(prepared, monkeypatch):
+def test_any_partitioning_fits_alike(prepared):
     _, points = prepared
     (one,) = cluster.fit_runs(points, [cluster.Run(3, 4)])
-    monkeypatch.setattr(cluster, "FEW_TASKS", 0)
     (two,) = cluster.fit_runs(points.repartition(5), [cluster.Run(3, 4)])
-    assert one.inertia == pytest.approx(two.inertia)
+    assert one.converged and one.inertia == pytest.approx(two.inertia)
+    centres = [sorted(map(tuple, f.centres.round(8).tolist())) for f in (one, two)]
+    assert centres[0] == centres[1]
+
+
+def test_seeds_reach_small_far_groups(spark):
+    """Three groups of four, far from 1,500 points about the origin; every fit starts among all points."""
+    rng = np.random.default_rng(12)
+    far = np.array([[90.0, 0.0], [0.0, 90.0], [-90.0, -90.0]])
+    x = np.concatenate([rng.normal(size=(1500, 2)), *[f + rng.normal(size=(4, 2)) for f in far]])
+    rows = [(f"p{i}", v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "rgm_ppg string, x array<double>")
+    truth = sum(((g - g.mean(axis=0)) ** 2).sum() for g in np.split(x, [1500, 1504, 1508]))
+    for parts in (1, 9):
+        (fit,) = cluster.fit_runs(points.repartition(parts), [cluster.Run(4, 5)])
+        assert fit.inertia == pytest.approx(truth)
+
+
+def test_inertia_belongs_to_the_centres_and_a_short_fit_says_so(prepared):
+    _, points = prepared
+    with pytest.warns(UserWarning, match="still move"):
+        (fit,) = cluster.fit_runs(points, [cluster.Run(4, 3)], max_iter=1)
+    x = np.array([r["x"] for r in points.collect()])
+    cost = ((x[:, None] - fit.centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert not fit.converged and fit.inertia == pytest.approx(cost)
+
+
+def test_a_group_too_small_to_split_is_an_error(prepared):
+    _, points = prepared
+    few = points.limit(4)
+    with pytest.raises(ValueError, match="cannot be split"):
+        cluster.split_biggest(few, few.select(S.KEY, F.lit(0).alias("group")))
 
 
 def test_agreement_ignores_label_names(spark):
@@ -119,7 +149,8 @@ def test_gate(spark, agreement, publish):
     suggestions = spark.createDataFrame([(S.UNDRILLED_ACTION,), ("x",)], "action string")
     row = rules.publish_gate(score, suggestions).first()
     assert row.publish is publish
-    assert ("hold up" if publish else "previous groups") in row.reason
+    assert ("reaches" if publish else "nothing is published") in row.reason
+    assert (row.bar, row.groups, row.actioned, row.undrilled) == (S.PUBLISH_BAR, 2, 1, 1)
 
 
 def test_moved_products(spark):
