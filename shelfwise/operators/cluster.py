@@ -293,18 +293,30 @@ def _labelled(points: DataFrame, labelings: Sequence[np.ndarray]) -> DataFrame:
     return table.mapInPandas(assign, schema)
 
 
+def fit_scan(
+    points: DataFrame,
+    high: int = S.K_SEARCH[1],
+    restarts: int = S.RESTARTS,
+    seed: int = S.SEED,
+) -> dict[int, Fit]:
+    """The fits of k = 2 .. ``high``, advanced together."""
+    ks = list(range(2, high + 1))
+    return dict(zip(ks, fit_runs(points, [Run(k, restarts, seed) for k in ks])))
+
+
 def scan_k(
     points: DataFrame,
     high: int = S.K_SEARCH[1],
     restarts: int = S.RESTARTS,
     seed: int = S.SEED,
+    fitted: dict[int, Fit] | None = None,
 ) -> DataFrame:
     """Inertia, silhouette, Calinski-Harabasz and biggest share for k = 2 .. ``high``.
 
-    ``points`` should be staged; all k are fitted and scored together.
+    ``points`` should be staged; all k are scored together, and fitted unless the fits are given.
     """
-    ks = list(range(2, high + 1))
-    fits = fit_runs(points, [Run(k, restarts, seed) for k in ks])
+    fitted = fitted or fit_scan(points, high, restarts, seed)
+    ks, fits = list(fitted), list(fitted.values())
     labelled = stage(_labelled(points, [f.centres for f in fits]), "scan-labels")
     sizes = (
         labelled.select(F.posexplode("labels").alias("labeling", "label"))
@@ -372,16 +384,16 @@ def stability(
     fraction: float = S.RESAMPLE_FRACTION,
     restarts: int = S.RESTARTS,
     seed: int = S.SEED,
+    base: np.ndarray | None = None,
 ) -> DataFrame:
     """Mean agreement between the grouping of all products and groupings of resamples.
 
-    The full fit and all resample fits advance in the same jobs.
+    ``base`` holds the centres of the grouping of all; without it that is fitted in the same jobs.
     """
     sampled = stage(with_resamples(points, times, fraction, seed), "resamples")
-    fits = fit_runs(
-        sampled,
-        [Run(k, restarts, seed), *[Run(k, restarts, seed, member=i) for i in range(times)]],
-    )
+    again = [Run(k, restarts, seed, member=i) for i in range(times)]
+    fits = fit_runs(sampled, again if base is not None else [*again, Run(k, restarts, seed)])
+    base = fits.pop().centres if base is None else base
     again = F.array(
         *[
             F.struct(
@@ -389,10 +401,10 @@ def stability(
                 F.element_at("members", i + 1).alias("inside"),
                 nearest(f.centres).alias("again"),
             )
-            for i, f in enumerate(fits[1:])
+            for i, f in enumerate(fits)
         ]
     )
-    pairs = sampled.select(nearest(fits[0].centres).alias("full"), F.inline(again)).where("inside")
+    pairs = sampled.select(nearest(base).alias("full"), F.inline(again)).where("inside")
     return _mean_agreement(pairs)
 
 

@@ -222,14 +222,22 @@ def effect_pvalue(fits: DataFrame) -> DataFrame:
 
 
 def strict_links(
-    tested: DataFrame, alpha: float = S.ALPHA, min_effect: float = S.MIN_EFFECT
+    tested: DataFrame,
+    alpha: float = S.ALPHA,
+    min_effect: float = S.MIN_EFFECT,
+    per_pair: bool = False,
 ) -> DataFrame:
     """Pairs past the Bonferroni bar of their subcategory and the effect floor.
 
     The divisor counts the pairs that were fitted; a subcategory has at most N(N-1)/2 of them.
+    With ``per_pair`` every pair is held against ``alpha`` itself, for a first look.
     """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha is a probability")
+    # counting first also keeps the long p-value expression from being copied into the conditions
     tests = F.count(F.lit(1)).over(Window.partitionBy(SUB))
-    strong = (F.col("p") < alpha / F.col("tests")) & (F.abs("effect") >= min_effect)
+    bar = F.when(F.col("tests") > 0, F.lit(alpha)) if per_pair else alpha / F.col("tests")
+    strong = (F.col("p") < bar) & (F.abs("effect") >= min_effect)
     kind = F.when(F.col("effect") > 0, S.COMPETE).otherwise(S.SELL_TOGETHER)
     return (
         tested.withColumn("tests", tests)
@@ -245,10 +253,11 @@ def all_subcategory_links(
     min_weeks: int = S.MIN_SHARED_WEEKS,
     alpha: float = S.ALPHA,
     min_effect: float = S.MIN_EFFECT,
+    per_pair: bool = False,
 ) -> DataFrame:
     """Strict links of every subcategory, strongest evidence first."""
     fits = effect_pvalue(pair_regression(weekly_prices(sales), top_n, min_weeks))
-    return strict_links(fits, alpha, min_effect).orderBy("p", *PAIR)
+    return strict_links(fits, alpha, min_effect, per_pair).orderBy("p", *PAIR)
 
 
 def cross_price_links(sales: DataFrame, **options) -> DataFrame:

@@ -12,8 +12,7 @@ from shelfwise.plans.queries import (
     DIFFER_COLUMNS,
     FLOOR,
     HARSH_FLOOR,
-    LOOSE_ALPHA,
-    LOOSE_EFFECT,
+    LOOSE,
     MONEY,
 )
 
@@ -229,10 +228,10 @@ tested AS (
       END AS p
   FROM (SELECT *, atan(abs(effect / std_error) / sqrt(dof)) AS theta
         FROM fits WHERE std_error > 0)),
-strict AS (
-  SELECT *, CASE WHEN effect > 0 THEN '{S.COMPETE}' ELSE '{S.SELL_TOGETHER}' END AS relationship
-  FROM (SELECT *, count(*) OVER (PARTITION BY subcategory_nm) AS tests FROM tested)
-  WHERE p < {LOOSE_ALPHA} / tests AND abs(effect) >= {LOOSE_EFFECT})"""
+related AS (
+  SELECT *, CASE WHEN effect > 0 THEN '{S.COMPETE}' ELSE '{S.SELL_TOGETHER}' END AS relationship,
+         count(*) OVER (PARTITION BY subcategory_nm) AS tests FROM tested),
+strict AS (SELECT * FROM related WHERE p < {LOOSE["alpha"]} AND abs(effect) >= {LOOSE["min_effect"]})"""
     )
 
 
@@ -1086,6 +1085,13 @@ WHERE subcategory_nm = (SELECT subcategory_nm FROM sales GROUP BY 1 ORDER BY cou
         _CLEAN,
         _regression(),
     ),
+    "strict_links": _sql(
+        f"""
+SELECT subcategory_nm, product_a, product_b, round(effect, 6) + 0.0 AS effect, round(p, 6) + 0.0 AS p,
+       relationship FROM related WHERE p < {S.ALPHA} / tests AND abs(effect) >= {S.MIN_EFFECT}""",
+        _CLEAN,
+        _regression(),
+    ),
     "all_subcategory_links": _sql(
         """
 SELECT subcategory_nm, product_a, product_b, round(effect, 6) + 0.0 AS effect, round(p, 6) + 0.0 AS p,

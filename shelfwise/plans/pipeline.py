@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import settings as S
 from shelfwise.operators import clean, cluster, features, links, prepare, reports, rules, scores
-from shelfwise.sources.publish import load_previous_groups, publish_tables
+from shelfwise.sources.publish import latest_run, load_previous_groups, publish_tables, run_name
 from shelfwise.sources.staging import stage
 
 
@@ -55,9 +55,10 @@ def run(
     preparation = prepare.fit_preparation(table)
     points = stage(preparation.transform(table), "points")
 
-    scan = stage(cluster.scan_k(points, search[1], restarts), "scan")
+    fitted = cluster.fit_scan(points, search[1], restarts)
+    scan = stage(cluster.scan_k(points, fitted=fitted), "scan")
     k = scores.choose_k(scan, *search).first()["groups"]
-    grouping = cluster.fit_groups(points, k, restarts)
+    grouping = cluster.Grouping(cluster.canonical_order(points, fitted[k].centres), fitted[k].inertia)
     labelled = stage(table.join(grouping.transform(points), S.KEY), "labelled")
     profile = reports.group_profile(labelled)
     names = stage(rules.name_groups(profile), "names")
@@ -65,7 +66,7 @@ def run(
     suggestions = stage(rules.suggest_actions(labelled, names), "suggestions")
     split = cluster.split_biggest(points, labelled.select(S.KEY, "group"), restarts=restarts)
 
-    agreement = cluster.stability(points, k, resamples, restarts=restarts)
+    agreement = cluster.stability(points, k, resamples, restarts=restarts, base=grouping.centres)
     gate = stage(rules.publish_gate(agreement, suggestions, publish_bar), "gate")
     before = load_previous_groups(spark, root)
     moved = None if before is None else rules.products_moved(before, groups, "group_name")
@@ -79,7 +80,11 @@ def run(
     }
     if moved is not None:
         moved = stage(moved, "moved")
-    published = publish_tables(tables, gate, root)
+    name = run_name()
+    if gate.first()["publish"]:  # the model is there before the run can be seen
+        prepare.save_preparation(preparation, spark, f"{root}/{name}/model")
+        save_grouping(grouping, spark, f"{root}/{name}/model")
+    published = publish_tables(tables, gate, root, name)
     return RunResult(
         groups=groups,
         profile=tables["group_profiles"],
@@ -126,6 +131,17 @@ def assign_to_existing_groups(
     return grouping.transform(points)
 
 
+def load_model(
+    spark: SparkSession, root: str
+) -> tuple[prepare.Preparation, cluster.Grouping] | None:
+    """The fitted parameters of the latest published run, for scoring new products; None before the first."""
+    run = latest_run(spark, root)
+    if run is None:
+        return None
+    path = f"{root}/{run}/model"
+    return prepare.load_preparation(spark, path), load_grouping(spark, path)
+
+
 def save_grouping(grouping: cluster.Grouping, spark: SparkSession, path: str) -> None:
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(grouping.centres)]
     spark.createDataFrame(rows, "group int, centre array<double>").withColumn(

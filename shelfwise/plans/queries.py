@@ -34,8 +34,8 @@ FLOOR = 700.0
 HARSH_FLOOR = 3500.0
 ASIDE_WEEKS = 150
 K = 3
-LOOSE_ALPHA = 20.0
-LOOSE_EFFECT = 0.10
+# These tables hold no link at the strict bars; the look at single pairs leaves some.
+LOOSE = {"alpha": 0.05, "min_effect": 0.10, "per_pair": True}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,7 +304,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _loose_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links of every subcategory at bars loose enough to leave some on these tables."""
     sales = _sales(spark, sf)
-    return links.all_subcategory_links(sales, alpha=LOOSE_ALPHA, min_effect=LOOSE_EFFECT)
+    return links.all_subcategory_links(sales, **LOOSE)
 
 
 @query("link_group_lookup")
@@ -415,7 +415,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     sales = _staged_sales(spark, sf)
     units = sales.groupBy(S.KEY).agg(F.sum("total_units").alias("units"))
     found = stage(
-        links.all_subcategory_links(sales, alpha=LOOSE_ALPHA, min_effect=LOOSE_EFFECT), "links"
+        links.all_subcategory_links(sales, **LOOSE), "links"
     )
     formats = reports.product_format(pos_panel(spark, sf))
     return tidy(links.node_table(found, sales, formats, reports.size_rank_ids(units)))
@@ -880,10 +880,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cross_price_links")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    found = links.cross_price_links(_staged_sales(spark, sf), alpha=LOOSE_ALPHA, min_effect=LOOSE_EFFECT)
+    found = links.cross_price_links(_staged_sales(spark, sf), **LOOSE)
     return tidy(found)
 
 
+@query("strict_links")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """At the published bars: 0.05 over all pairs of the subcategory, effects of 0.30."""
+    return tidy(links.strict_links(links.effect_pvalue(_fits(spark, sf))))
+
+
 @query("all_subcategory_links")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(_loose_links(spark, sf))
@@ -900,6 +906,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         pos_panel(spark, sf),
         stage_path(spark, "published"),
         price_floor=FLOOR,
-        publish_bar=0.0,
     )
-    return result.suggestions
+    gate = result.gate.select("agreement", "bar", "publish").first()
+    return result.suggestions.select(
+        "*", *[F.lit(gate[c]).alias(c) for c in ("agreement", "bar", "publish")]
+    )

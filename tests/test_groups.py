@@ -171,3 +171,5 @@ def test_a_held_back_run_leaves_the_published_one(spark, raw, tmp_path):
     assert held.published is None and held.moved.first().moved == 0.0
     assert load_previous_groups(spark, root).count() == 24
     assert load_published(spark, root, "suggestions").count() == 3
+    preparation, grouping = pipeline.load_model(spark, root)
+    assert grouping.centres.tolist() == first.grouping.centres.tolist()
