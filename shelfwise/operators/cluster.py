@@ -34,13 +34,17 @@ _CHUNK = 1024
 
 @dataclass(frozen=True)
 class Run:
-    """One K-Means problem: k, restarts, seed, and the slot of its member flag, if resampled."""
+    """One K-Means problem: k, restarts, seed, and the slot of its member flag, if resampled.
+
+    ``starts`` names the products to start from; nothing is drawn then and restarts are all alike.
+    """
 
     k: int
     restarts: int = S.RESTARTS
     seed: int = S.SEED
     init: str = "k-means++"
     member: int | None = None
+    starts: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -114,7 +118,9 @@ def _start_centres(
     member = np.array([-1 if runs[i].member is None else runs[i].member for i, _ in owner])
     names = [(runs[i].seed, restart, runs[i].k, member[f], int(spread[f])) for f, (i, restart) in enumerate(owner)]
     for step in range(centres.shape[1]):
-        open_ = np.array([f for f, (i, _) in enumerate(owner) if runs[i].k > step])
+        open_ = np.array([f for f, (i, _) in enumerate(owner) if runs[i].k > step and not runs[i].starts])
+        if not len(open_):
+            continue
         salt = np.array([zlib.crc32(repr((*map(int, names[f]), step)).encode()) for f in open_], dtype=np.uint64)
         propose = _proposals(centres[open_], step, spread[open_], _mixed(salt + np.uint64(1)), member[open_])
         rows = (
@@ -190,6 +196,13 @@ def fit_runs(
         d, scale = size["d"], max(1.0, size["far"])
         owner = [(i, r) for i, run in enumerate(runs) for r in range(run.restarts)]
         centres = _start_centres(table, runs, owner, d)
+        named = sorted({key for run in runs for key in run.starts})
+        if named:
+            rows = points.where(F.col(S.KEY).isin(named)).select(S.KEY, "x").collect()
+            at = {r[S.KEY]: r["x"] for r in rows}
+            for fit, (i, _) in enumerate(owner):
+                if runs[i].starts:
+                    centres[fit, : runs[i].k] = [at[key] for key in runs[i].starts]
         widest = centres.shape[1]
         valid = np.array([np.arange(widest) < runs[i].k for i, _ in owner])
         member = np.array([-1 if runs[i].member is None else runs[i].member for i, _ in owner])
@@ -276,7 +289,7 @@ def fit_groups(
     return Grouping(canonical_order(points, fit.centres), fit.inertia)
 
 
-def _labelled(points: DataFrame, labelings: Sequence[np.ndarray]) -> DataFrame:
+def with_labels(points: DataFrame, labelings: Sequence[np.ndarray]) -> DataFrame:
     """Key, x and one label per labeling, in one vectorised pass over the points."""
 
     def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +330,7 @@ def scan_k(
     """
     fitted = fitted or fit_scan(points, high, restarts, seed)
     ks, fits = list(fitted), list(fitted.values())
-    labelled = stage(_labelled(points, [f.centres for f in fits]), "scan-labels")
+    labelled = stage(with_labels(points, [f.centres for f in fits]), "scan-labels")
     sizes = (
         labelled.select(F.posexplode("labels").alias("labeling", "label"))
         .groupBy("labeling", "label")
@@ -434,7 +447,7 @@ def split_biggest(
         raise ValueError(f"a group of {size} products cannot be split into up to {search[1]} parts")
     ks = list(range(search[0], search[1] + 1))
     fits = fit_runs(part, [Run(k, restarts, seed) for k in ks])
-    labelled = stage(_labelled(part, [f.centres for f in fits]), "biggest-labels")
+    labelled = stage(with_labels(part, [f.centres for f in fits]), "biggest-labels")
     ranked = (
         scores.silhouette(scores.silhouette_samples(labelled))
         .orderBy(F.desc("silhouette"), "labeling")
@@ -467,7 +480,7 @@ def setting_sweep(
     settings = []
     for run, fit in zip(runs, fits[: len(inits) * len(seeds)]):
         settings += [(run.init, n, run.seed, *fit.best_of(n)) for n in restarts]
-    labelled = stage(_labelled(points, [base, *[s[4] for s in settings]]), "sweep-labels")
+    labelled = stage(with_labels(points, [base, *[s[4] for s in settings]]), "sweep-labels")
     sharp = scores.silhouette(scores.silhouette_samples(labelled))
     long = labelled.select(
         F.element_at("labels", 1).alias("base"),

@@ -366,6 +366,33 @@ _MEASURES = [*S.SALES_COLS, *S.ACV_COLS]
 _MOVES = ["growth", "shelf_trend", "seasonality", "promo_lift"]
 _PRICE = "total_sales / nullif(total_units, 0)"
 
+
+
+def _lloyd(k: int, steps: int = 60) -> str:
+    """Lloyd's steps over ``scaled`` from the first k products, unrolled; more of them than any fit here takes."""
+    parts = [
+        f"""
+c{k}_0 AS MATERIALIZED (
+  SELECT s.n AS c, feature, v FROM scaled JOIN (
+    SELECT rgm_ppg, row_number() OVER (ORDER BY rgm_ppg) AS n FROM (SELECT DISTINCT rgm_ppg FROM scaled)
+    QUALIFY n <= {k}) s USING (rgm_ppg))"""
+    ]
+    for i in range(steps):
+        parts.append(f"""
+l{k}_{i} AS MATERIALIZED (
+  SELECT rgm_ppg, arg_min(c, d) AS c, min(d) AS d FROM (
+    SELECT rgm_ppg, c, sum((s.v - m.v) * (s.v - m.v)) AS d
+    FROM scaled s JOIN c{k}_{i} m USING (feature) GROUP BY rgm_ppg, c) GROUP BY rgm_ppg),
+c{k}_{i + 1} AS MATERIALIZED (
+  SELECT c, feature, avg(v) AS v FROM scaled JOIN l{k}_{i} USING (rgm_ppg) GROUP BY c, feature)""")
+    last = f"l{k}_{steps - 1}"
+    parts.append(f"""
+g{k} AS (
+  SELECT c, count(*) AS n, sum(d) AS cost,
+         row_number() OVER (ORDER BY count(*) DESC, min(rgm_ppg)) - 1 AS number FROM {last} GROUP BY c)""")
+    return ",".join(parts)
+
+
 ORACLE: dict[str, str] = {
     "load_pos": _sql(f"""
 SELECT rgm_ppg, product_id, retailer_nm, period_id,
@@ -922,6 +949,21 @@ ORACLE |= {
         _BAND_LABELS,
         _silhouettes("labels"),
     ),
+    "kmeans_from_starts": _sql(
+        'SELECT rgm_ppg, cast(number AS int) AS "group" FROM l3_59 JOIN g3 USING (c)',
+        _FEATURES,
+        _SCALED,
+        _lloyd(3),
+    ),
+    "scan_from_starts": _sql(
+        " UNION ALL ".join(
+            f"SELECT {k} AS groups, round(sum(cost), 5) AS inertia, round(max(n) / sum(n), 5) AS biggest_group FROM g{k}"
+            for k in range(2, 6)
+        ),
+        _FEATURES,
+        _SCALED,
+        *[_lloyd(k) for k in range(2, 6)],
+    ),
     "silhouette": _sql(
         """
 SELECT round(avg(silhouette), 6) AS silhouette,

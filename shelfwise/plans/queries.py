@@ -688,6 +688,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.fit_groups(points, K).transform(points)
 
 
+def _first_products(points: DataFrame, k: int) -> tuple[str, ...]:
+    return tuple(r[S.KEY] for r in points.select(S.KEY).orderBy(S.KEY).limit(k).collect())
+
+
+@query("kmeans_from_starts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of the scaled features, from the first three products as starting centres."""
+    points = _scaled_banded(spark, sf)
+    (fit,) = cluster.fit_runs(points, [cluster.Run(K, 1, starts=_first_products(points, K))])
+    ordered = cluster.canonical_order(points, fit.centres)
+    return cluster.Grouping(ordered, fit.inertia).transform(points)
+
+
+@query("scan_from_starts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan of the scaled features, every k from its first products as starting centres."""
+    points = _scaled_banded(spark, sf)
+    ks = range(2, 6)
+    fits = cluster.fit_runs(points, [cluster.Run(k, 1, starts=_first_products(points, k)) for k in ks])
+    labelled = cluster.with_labels(points, [f.centres for f in fits])
+    shares = (
+        labelled.select(F.posexplode("labels").alias("at", "label"))
+        .groupBy("at", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("at")
+        .agg((F.max("n") / F.sum("n")).alias("biggest_group"))
+    )
+    known = spark.createDataFrame(
+        [(i, k, f.inertia) for i, (k, f) in enumerate(zip(ks, fits))], "at int, groups int, inertia double"
+    )
+    return tidy(known.join(shares, "at").drop("at"), 5)
+
+
 @query("scan_k")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.scan_k(_points(spark, sf))
