@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.components import components
 from shelfwise.llm.stage import stage
 from shelfwise.llm.text import ALNUM, shingles, slices, words
 
@@ -23,6 +24,8 @@ SHINGLE_WORDS = 5
 FIELDS = 64
 BANDS = 16
 THRESHOLD = 0.8
+#: size of the bitmap that spares shuffling texts no pair needs
+FILTER_BITS = 1 << 24
 
 _RNG = np.random.default_rng(2024)
 _A = (_RNG.integers(0, 1 << 31, FIELDS, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -154,70 +157,80 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            sets = []
-            for name in ("text_a", "text_b"):
-                held = []
-                for first, end, data, offsets in slices(batch.column(name)):
-                    hashes, bounds = shingles(words(data, offsets, ALNUM, lower=True), SHINGLE_WORDS)
-                    held += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                sets.append(held)
-            for a, b in zip(*sets):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(keep, pa.float64())], names=["a", "b", "jaccard"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, sets = whole.slice(at, 256), []
+                for name in ("text_a", "text_b"):
+                    held = []
+                    for _, _, data, offsets in slices(batch.column(name)):
+                        hashes, bounds = shingles(words(data, offsets, ALNUM, lower=True), SHINGLE_WORDS)
+                        held += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                    sets.append(held)
+                shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)])
+                either = np.array([len(a) + len(b) for a, b in zip(*sets)]) - shared
+                keep = (shared >= threshold * either - 1e-9) & (either > 0)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def _likely(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id and text of the documents whose id may be among ``ids``: all that are, and few others.
+
+    The ids become one bitmap of fixed size, so texts that no pair needs are dropped before they are shuffled.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    marked = (
+        ids.select(place("id").alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("marks"))
+        .collect()  # at most ``bits`` in all
+    )
+    held = np.zeros(bits // 8, dtype=np.uint8)
+    for r in marked:
+        part = np.frombuffer(bytes(r.marks), dtype=np.uint8)
+        at = (r.bucket - 1) * len(part)
+        held[at : at + len(part)] = part[: len(held) - at]
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.asarray(batch.column("p")) - 1
+            keep = (sent.value[p >> 3] >> (p & 7)) & 1 > 0
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", place("doc_id").alias("p"))
+    return named.mapInArrow(run, "doc_id long, text string")
+
+
 def near_duplicates(docs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """fingerprint, class_id: the least doc_id of the class of verified near duplicates that a fingerprint belongs to.
 
-    ``prints`` has doc_id and fingerprint. Documents of equal fingerprint are one class from the start. Classes that share
-    a band are compared with the band's smallest document, the leader, by exact Jaccard; those that do not reach the
-    threshold go on among themselves under the next leader, until every class has joined a leader or led. So a band with
-    m classes costs m comparisons a round and never m squared. Fingerprints of null ids alone have a null class.
+    ``prints`` has doc_id and fingerprint. Documents of equal fingerprint are one class from the start. In every band a
+    class shares with others it is compared, by exact Jaccard, with the band's smallest document; verified links make the
+    classes. A band of m classes so costs m - 1 comparisons and never m squared; two documents that are like each other
+    but unlike the smallest one of every band they share stay apart. Fingerprints of null ids alone have no class.
     """
-    from shelfwise.llm.components import components
-
     classes = stage(
         prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc")), "print-classes"
     )
     width = 4 * FIELDS // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", i * width + 1, width)) for i in range(bands)])
-    open_ = classes.select("doc", F.explode(keys).alias("band"))
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    links = None
-    while True:
-        led = open_.groupBy("band").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("band", "a")
-        met = stage(open_.join(led, "band").where("doc > a").select("band", "a", F.col("doc").alias("b")), "bands")
-        if met.isEmpty():
-            break
-        pairs = met.select("a", "b").distinct()
-        text_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = text_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        judged = stage(
-            both.select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(threshold), "a long, b long, jaccard double")
-            .groupBy("a", "b")
-            .agg(F.max("jaccard").alias("jaccard")),  # of repeated ids the likest
-            "judged",
-        )
-        good = judged.where(F.col("jaccard") >= threshold).select("a", "b")
-        links = good if links is None else links.union(good)
-        open_ = stage(met.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("doc"), "band"), "open-bands")
-    if links is None:
-        return classes.select("fingerprint", F.col("doc").alias("class_id"))
-    joined = components(links)
+    banded = stage(classes.select("doc", F.explode(keys).alias("band")), "bands")
+    led = banded.groupBy("band").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("band", "a")
+    pairs = banded.join(led, "band").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
+    pairs = stage(pairs, "band-pairs")
+    texts = _likely(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    text_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = text_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    judged = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long")
+    joined = components(judged)
     return classes.join(joined, classes.doc == joined.node, "left").select(
         "fingerprint", F.coalesce("component", "doc").alias("class_id")
     )
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    prints = stage(fingerprints(docs), "prints")
+    prints = fingerprints(docs)
     classes = near_duplicates(docs, prints.select("doc_id", "fingerprint"))
     return prints.join(classes, "fingerprint", "left").select(*[n for n, _ in _FIELDS], "class_id")

@@ -57,7 +57,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, that of its edited text, and its class of near duplicates."""
+    """Every document's fingerprint, how like its edited text's and the next one's are, and its class of near duplicates."""
     return fingerprint.op9(_table(spark, sf_dir, "documents"))
 
 
