@@ -14,6 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ CAPACITY = 1024
 END_ID = 2
 SHARES = 512
 #: pre-tokens a task keeps the ids of
-CACHE = 400_000
+CACHE = 200_000
 
 # The pre-token pattern of the byte-level vocabulary, for texts of the plain alphabet below.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]*")
@@ -50,11 +51,12 @@ class _Ids(dict):
         return made
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> its ids as little-endian unsigned 32-bit bytes.
 
     Texts of the plain alphabet are cut into pre-tokens here, which do not depend on each other, so that a pre-token
-    met before costs one look-up; all others, and texts with a special token's string, go to the tokenizer whole.
+    met before costs one look-up, also in a later task of the same worker; all others, and texts with a special token's string, go to the tokenizer whole.
     """
     from tokenizers import Tokenizer
 

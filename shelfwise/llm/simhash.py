@@ -29,8 +29,9 @@ from shelfwise.llm.stage import stage
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: variants that one bucket should hold in a task at a time
+#: variants that a bucket holds on average, and that a task writes out at a time
 BUCKET_VARIANTS = 1 << 21
+ROOM = 1 << 19
 
 
 def fingerprint_of(text: bytes, k: int = SHINGLE_WORDS) -> int:
@@ -84,7 +85,7 @@ def _flips(bits: int, most: int) -> list[np.ndarray]:
     return out
 
 
-def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int, room: int = BUCKET_VARIANTS) -> np.ndarray:
+def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int, room: int = ROOM) -> np.ndarray:
     """Links (smaller, larger) among the fingerprints that meet on a variant with the leading ``bits`` of ``bucket``.
 
     Works through the variants in parts of their next bits, so memory is bounded by ``room`` and a part's own load.

@@ -18,7 +18,7 @@ _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _CHAR_BASE = U64(0xD6E8FEB86659FD93)
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
