@@ -8,6 +8,7 @@ shingle sets. For near duplicates, bands of fields are joined in Spark and the p
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ BANDS = 16
 THRESHOLD = 0.8
 #: size of the bitmap that spares shuffling texts no pair needs
 FILTER_BITS = 1 << 24
+#: counters that order shingles from rare to frequent, and documents from which a shingle counts as frequent at least
+COUNTERS = 1 << 21
+FREQUENT = 64
 
 _RNG = np.random.default_rng(2024)
 _A = (_RNG.integers(0, 1 << 31, FIELDS, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -161,11 +165,7 @@ def _verified(threshold: float):
             for at in range(0, whole.num_rows, 256):
                 batch, sets = whole.slice(at, 256), []
                 for name in ("text_a", "text_b"):
-                    held = []
-                    for _, _, data, offsets in slices(batch.column(name)):
-                        hashes, bounds = shingles(words(data, offsets, ALNUM, lower=True), SHINGLE_WORDS)
-                        held += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                    sets.append(held)
+                    sets.append(list(_sets(batch.column(name))))
                 shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets)])
                 either = np.array([len(a) + len(b) for a, b in zip(*sets)]) - shared
                 keep = (shared >= threshold * either - 1e-9) & (either > 0)
@@ -203,13 +203,148 @@ def _likely(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFra
     return named.mapInArrow(run, "doc_id long, text string")
 
 
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text."""
+    for _, _, data, offsets in slices(column):
+        hashes, bounds = shingles(words(data, offsets, ALNUM, lower=True), SHINGLE_WORDS)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield np.unique(hashes[a:b])
+
+
+def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % counters
+
+
+def _frequencies(texts: DataFrame, counters: int) -> np.ndarray:
+    """How many texts hold a shingle of each counter; shingles share counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, dtype=np.int64)
+        for batch in batches:
+            for held in _sets(batch.column("text")):
+                np.add.at(total, _counter(held, counters), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(counters, dtype=np.int64)  # at most ``counters`` rows
+    out[np.asarray(counted.column("at"))] = np.asarray(counted.column("n"))
+    return out
+
+
+def _size_classes(most: int) -> np.ndarray:
+    """Least size of each class; a class is about 2 % wide."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * 51 // 50))
+    return np.array(out, dtype=np.int64)
+
+
+def _prefixes(texts: DataFrame, threshold: float, counters: int, frequent: int) -> DataFrame:
+    """h, size_class, small, doc, comp, n, rest: the rare shingles by which documents at or over the threshold meet.
+
+    Shingles are in one order, from rare to frequent. Two documents of m <= n shingles at the threshold share at least
+    threshold / (1 + threshold) * (m + n), so their first common one has as many left (``rest``) in both. Documents go out
+    as the smaller and as the larger one of a pair; for frequent shingles the larger one goes to each class of sizes that
+    the smaller one can have, with as few shingles as that class asks for.
+    """
+    totals = _frequencies(texts, counters)
+    mean = totals.sum() / max(np.count_nonzero(totals), 1)
+    sent = texts.sparkSession.sparkContext.broadcast(totals)
+    hot_at, share = max(frequent, 8 * mean), threshold / (1 + threshold)
+    names = ["h", "size_class", "small", "doc", "comp", "n", "rest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = _size_classes(1 << 16)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                docs, comps = (batch.column(c).to_pylist() for c in ("doc", "comp"))
+                made: list[tuple] = []
+                for i, held in enumerate(_sets(batch.column("text"))):
+                    n = len(held)
+                    if not n:
+                        continue
+                    while n >= classes[-1]:
+                        classes = _size_classes(2 * n)
+                    seen = sent.value[_counter(held, counters)]
+                    order = np.lexsort((held, seen))[: n - math.ceil(threshold * n - 1e-9) + 1]
+                    held, hot = held[order].view(np.int64), seen[order] > hot_at
+                    rest = n - np.arange(len(held))
+                    own = int(np.searchsorted(classes, n, side="right")) - 1
+                    least = int(np.searchsorted(classes, math.ceil(threshold * n - 1e-9), side="right")) - 1
+
+                    def add(keep: np.ndarray, size_class: int, small: int) -> None:
+                        if keep.any():
+                            made.append((held[keep], rest[keep], size_class, small, i, n))
+
+                    inner = rest >= 2 * share * n - 1e-9
+                    add(~hot & inner, -1, 1)
+                    add(~hot, -1, 0)
+                    add(hot & inner, own, 1)
+                    if hot.any():
+                        for c in range(least, own + 1):
+                            add(hot & (rest >= share * (n + classes[c]) - 1e-9), c, 0)
+                if made:
+                    number = [len(m[0]) for m in made]
+                    of = lambda values: pa.array(np.repeat(np.array(values, dtype=np.int64), number))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([m[0] for m in made])),
+                            of([m[2] for m in made]),
+                            of([m[3] for m in made]),
+                            of([docs[m[4]] for m in made]),
+                            of([comps[m[4]] for m in made]),
+                            of([m[5] for m in made]),
+                            pa.array(np.concatenate([m[1] for m in made])),
+                        ],
+                        names=names,
+                    )
+
+    return texts.select("doc", "comp", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def similar_pairs(
+    texts: DataFrame, threshold: float = THRESHOLD, counters: int = COUNTERS, frequent: int = FREQUENT
+) -> DataFrame:
+    """a < b: candidates that hold every pair of documents of different ``comp`` at or over the threshold.
+
+    ``texts`` has doc, comp and text. Rows of the class that holds most of a shingle's rows meet those of other classes
+    only, so a large class costs no pairs of its own.
+    """
+    rows = stage(_prefixes(texts, threshold, counters, frequent), "prefixes")
+    key = ["h", "size_class"]
+    main = (
+        rows.groupBy(*key, "comp").agg(F.count("*").alias("rows"))
+        .groupBy(*key).agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"))
+        .where("comps > 1")
+    )
+    placed = rows.join(main, key).withColumn("of_main", F.col("comp") == F.col("main"))
+    side = lambda here: F.explode(
+        F.when(F.col("of_main"), F.array(F.lit(here))).otherwise(F.array(F.lit(0), F.lit(3 - here)))
+    )
+    s = placed.where("small = 1").select(
+        *key, side(1).alias("way"), F.col("doc").alias("s_doc"), F.col("comp").alias("s_comp"), F.col("n").alias("m"), F.col("rest").alias("s_rest")
+    )
+    l = placed.where("small = 0").select(*key, side(2).alias("way"), "doc", "comp", "n", "rest")
+    share = threshold / (1 + threshold)
+    fits = (
+        (F.col("s_comp") != F.col("comp"))
+        & (F.col("m") <= F.col("n"))
+        & (F.col("m") >= threshold * F.col("n") - 1e-9)
+        & (F.least("s_rest", "rest") >= share * (F.col("m") + F.col("n")) - 1e-9)
+    )
+    met = s.join(l, [*key, "way"]).where(fits)
+    return met.select(F.least("doc", "s_doc").alias("a"), F.greatest("doc", "s_doc").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """fingerprint, class_id: the least doc_id of the class of verified near duplicates that a fingerprint belongs to.
 
     ``prints`` has doc_id and fingerprint. Documents of equal fingerprint are one class from the start. In every band a
-    class shares with others it is compared, by exact Jaccard, with the band's smallest document; verified links make the
-    classes. A band of m classes so costs m - 1 comparisons and never m squared; two documents that are like each other
-    but unlike the smallest one of every band they share stay apart. Fingerprints of null ids alone have no class.
+    class shares with others it is compared, by exact Jaccard, with the band's smallest document. Where that leaves the
+    other members of a band in several classes, they are joined on their rare shingles (`similar_pairs`), which misses no
+    pair at the threshold, and verified too; verified links make the classes. Fingerprints of null ids alone have no class.
     """
     classes = stage(
         prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc")), "print-classes"
@@ -218,13 +353,25 @@ def near_duplicates(docs: DataFrame, prints: DataFrame, threshold: float = THRES
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", i * width + 1, width)) for i in range(bands)])
     banded = stage(classes.select("doc", F.explode(keys).alias("band")), "bands")
     led = banded.groupBy("band").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("band", "a")
-    pairs = banded.join(led, "band").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
-    pairs = stage(pairs, "band-pairs")
-    texts = _likely(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    text_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = text_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    judged = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long")
-    joined = components(judged)
+    members = stage(banded.join(led, "band").where("doc > a").select("band", "a", F.col("doc").alias("b")), "band-members")
+    pairs = members.select("a", "b").distinct()
+
+    def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        text_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        both = text_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long")
+
+    joined = components(judged(pairs, _likely(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))))
+    placed = members.join(joined, members.b == joined.node, "left").select(
+        "band", F.col("b").alias("doc"), F.coalesce("component", "b").alias("comp")
+    )
+    open_bands = placed.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("z")).where("c < z").select("band")
+    left = stage(placed.join(open_bands, "band").select("doc", "comp").distinct(), "open-members")
+    if not left.isEmpty():
+        named = left.join(_likely(docs, left.select(F.col("doc").alias("id"))), F.col("doc") == F.col("doc_id"))
+        texts = stage(named.select("doc", "comp", "text"), "open-texts")
+        further = judged(stage(similar_pairs(texts, threshold), "rare-pairs"), texts.select(F.col("doc").alias("doc_id"), "text"))
+        joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(further))
     return classes.join(joined, classes.doc == joined.node, "left").select(
         "fingerprint", F.coalesce("component", "doc").alias("class_id")
     )

@@ -142,6 +142,57 @@ def test_minhash_classes_join_near_copies_only(spark):
     assert len(found) == 60 and all(r.class_id == r.doc_id // 100 * 100 for r in found)
 
 
+def _over_boilerplate(pairs: int, seed: int) -> list[tuple]:
+    """Pairs of near copies; all hold one passage, by which they meet in bands without being near each other."""
+    rng = random.Random(seed)
+    passage, rows = prose(rng, 200), []
+    for i in range(pairs):
+        own = prose(rng, rng.randrange(40, 56)).split()
+        for doc in (1 + i, 1000 - i):
+            words = list(own)
+            words[rng.randrange(len(words))] = f"w{doc}"
+            rows.append((doc, f"{passage} {' '.join(words)}", "en", "s", 1))
+    return rows
+
+
+def _alike(rows: list[tuple], threshold: float) -> set[tuple[int, int]]:
+    held = []
+    for doc, text, *_ in rows:
+        words = text.lower().split()
+        held.append((doc, {tuple(words[i : i + 5]) for i in range(len(words) - 4)}))
+    return {
+        (min(a, b), max(a, b))
+        for n, (a, x) in enumerate(held)
+        for b, y in held[n + 1 :]
+        if len(x & y) >= threshold * len(x | y) - 1e-9
+    }
+
+
+def test_minhash_classes_of_bands_led_by_another_text(spark):
+    rows = _over_boilerplate(60, 8)
+    links = _alike(rows, 0.8)
+    assert links == {(1 + i, 1000 - i) for i in range(60)}
+    docs = spark.createDataFrame(rows, DOCS)
+    found = fingerprint.op9(docs).collect()
+    assert {(r.class_id, r.doc_id) for r in found} == links | {(a, a) for a, _ in links}
+
+
+def test_rare_shingles_miss_no_pair(spark):
+    rng = random.Random(9)
+    rows = _over_boilerplate(30, 10)
+    for doc in range(2000, 2060):  # many sizes around one text
+        words = rows[0][1].split()[: rng.randrange(120, 240)]
+        rows.append((doc, " ".join(words + prose(rng, rng.randrange(30)).split()), "en", "s", 1))
+    comp = {doc: doc if doc % 3 else 2000 for doc, *_ in rows}
+    want = {(a, b) for a, b in _alike(rows, 0.8) if comp[a] != comp[b]}
+    assert len(want) > 100
+    texts = spark.createDataFrame([(doc, comp[doc], text) for doc, text, *_ in rows], "doc long, comp long, text string")
+    for frequent in (1, 1000):  # the shingles of the passage count as frequent, or none
+        got = fingerprint.similar_pairs(texts, 0.8, 1 << 14, frequent)
+        got = {(r.a, r.b) for r in got.collect()}
+        assert want <= got and all(comp[a] != comp[b] for a, b in got)
+
+
 # --- licenses
 
 
