@@ -6,7 +6,8 @@ page and labels every block as article or not, so what stands before and behind
 
 There are no labelled pages. The network learns from a bounded sample of the given ones, labelled by what their markup
 says (article, nav, footer, ...), and from variants of them in which containers bear other usual names and notices,
-sidebars, forms, adverts and reader comments made of the pages' own texts are put in.
+sidebars, forms, adverts and reader comments made of the pages' own texts are put in, or all is nested deep in containers
+that only lay the page out.
 """
 
 from __future__ import annotations
@@ -150,6 +151,17 @@ def named(path: tuple[str, ...]) -> int:
     return int(bool(path) and path[-1] in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre"))
 
 
+# Usual parts of containers that only lay a page out.
+LAYOUT = ("div", ".container", ".row", ".col", ".md", ".sm", ".4", ".6", ".12", ".wrap", ".inner", ".outer", ".grid", ".flex", ".list", ".unstyled", ".item", ".group", ".block", "section", "ul", "li")
+
+
+def _nested(path: tuple[str, ...], rng: np.random.Generator) -> tuple[str, ...]:
+    """The path with up to 40 parts of layout between its outer parts and its last element."""
+    at = int(rng.integers(min(2, len(path)), len(path))) if path else 0
+    number = int(rng.integers(1, 41))
+    return (*path[:at], *(LAYOUT[i] for i in rng.integers(len(LAYOUT), size=number)), *path[at:])
+
+
 def _variant(page: list[Leaf], texts: list[str], rng: np.random.Generator) -> tuple[list[Leaf], np.ndarray]:
     """The page with containers of other names, and with blocks beside the article put in; and its labels."""
     y = [named(l.path) for l in page]
@@ -180,6 +192,8 @@ def _variant(page: list[Leaf], texts: list[str], rng: np.random.Generator) -> tu
                 text = " ".join(text.split()[: int(rng.integers(1, 12))])
             out.insert(at, Leaf(base + outer + inner, text, float(rng.random() < 0.3)))
             y.insert(at, 0)
+    if rng.random() < 0.75:  # a page of many nested containers
+        out = [Leaf(_nested(l.path, rng), l.text, l.linked) for l in out]
     return out, np.array(y)
 
 
@@ -200,7 +214,7 @@ def _tags(path: tuple[str, ...]) -> np.ndarray:
     if (made := _tag_rows.get(path)) is None:
         if len(_tag_rows) > 20_000:
             _tag_rows.clear()
-        made = _tag_rows[path] = np.array([zlib.crc32(x.encode()) % TAGS for x in path[-12:]] or [0])
+        made = _tag_rows[path] = np.array([zlib.crc32(x.encode()) % TAGS for x in dict.fromkeys(path)] or [0])
     return made
 
 
@@ -234,12 +248,17 @@ def encode(pages: list[list[Leaf]]) -> Batch:
     )
 
 
-def _mean_rows(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _shares(name: str, number: np.ndarray) -> np.ndarray:
+    """By what the sum of so many rows is divided; a tag of a long path keeps more weight than in a mean."""
+    return np.maximum(2 * np.sqrt(number) if name == "tag" else number, 1).astype(np.float32)[:, None]
+
+
+def _summed_rows(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray], name: str) -> np.ndarray:
     at, bounds = rows
     out = np.zeros((len(bounds) - 1, table.shape[1]), dtype=np.float32)
     filled = np.flatnonzero(np.diff(bounds))
     if len(filled):
-        out[filled] = np.add.reduceat(table[at], bounds[filled], axis=0) / np.diff(bounds)[filled][:, None]
+        out[filled] = np.add.reduceat(table[at], bounds[filled], axis=0) / _shares(name, np.diff(bounds)[filled])
     return out
 
 
@@ -267,7 +286,7 @@ class Labeller:
         return Labeller({k: v.astype(np.float32) for k, v in w.items()})
 
     def _inputs(self, batch: Batch) -> np.ndarray:
-        return np.concatenate([_mean_rows(self.weights["tag"], batch.tags), _mean_rows(self.weights["word"], batch.words), batch.measures], axis=1)
+        return np.concatenate([_summed_rows(self.weights["tag"], batch.tags, "tag"), _summed_rows(self.weights["word"], batch.words, "word"), batch.measures], axis=1)
 
     def _run(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """x: steps, pages, inputs. The states of every step."""
@@ -348,11 +367,11 @@ class Labeller:
         for name, rows, a, b in (("tag", batch.tags, 0, TAG_SIZE), ("word", batch.words, TAG_SIZE, TAG_SIZE + WORD_SIZE)):
             number = np.diff(rows[1])
             grads[name] = np.zeros_like(self.weights[name])
-            np.add.at(grads[name], rows[0], np.repeat(dx[:, a:b] / np.maximum(number, 1)[:, None], number, axis=0))
+            np.add.at(grads[name], rows[0], np.repeat(dx[:, a:b] / _shares(name, number), number, axis=0))
         return grads
 
 
-def train(pages: list[list[Leaf]], shown_pages: int = 10_000, size: int = 24, rate: float = 1.5e-2) -> Labeller:
+def train(pages: list[list[Leaf]], shown_pages: int = 16_000, size: int = 24, rate: float = 1.5e-2) -> Labeller:
     """Fit on leaf sequences, labelled by their markup, with a fresh variant of every page in every pass.
 
     There are as many passes as show ``shown_pages`` pages and variants in all, so few pages are seen more often.

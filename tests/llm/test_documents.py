@@ -315,6 +315,25 @@ def test_pages_of_the_table(spark):
     assert len(found) == len(pages) and right >= 0.99 * len(pages)
 
 
+def test_deeply_nested_blocks_are_told_by_their_outer_containers(spark):
+    net = html.model(spark.read.parquet(f"{SF}/pages.parquet"))
+    layout = ["div class='container'", "div class='row'", "div class='col-md-4 col-sm-6'", "div class='inner'", "div class='wrap'", "div class='grid'"] * 2
+    rng = random.Random(12)
+    deep = lambda texts: "".join(f"<{x}>" for x in layout) + "".join(f"<p>{t}</p>" for t in texts) + "</div>" * len(layout)
+    assert len(html.leaves(f"<footer>{deep(['x'])}</footer>")[0].path) > 20
+    for order in range(6):
+        texts = {k: [prose(rng, 20).capitalize() + "." for _ in range(3)] for k in ("article", "footer", "comments")}
+        parts = [
+            f"<article>{deep(texts['article'])}</article>",
+            f"<footer>{deep(texts['footer'])}</footer>",
+            f"<div class='comments'>{deep(texts['comments'])}</div>",
+        ]
+        rng.shuffle(parts)
+        page = html.leaves(f"<html><body>{''.join(parts)}</body></html>")
+        marks = html.labelled([page], net)[0]
+        assert [l.text for l, m in zip(page, marks) if m] == texts["article"], order
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><h2>Site name</h2></header>
 <nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav><div class="cookie-notice"><p>We use cookies here.</p></div>
 <main><h1>Heading</h1><p>First   para &amp; more &#233; text.<!-- hidden --><div class="ad-box">Buy now cheap</div>
