@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontaminate, fingerprint, html, language, licenses, packing, quality, simhash, substring, toxicity
+from shelfwise.llm import (
+    decontaminate,
+    fingerprint,
+    html,
+    language,
+    licenses,
+    packing,
+    periodic,
+    quality,
+    simhash,
+    substring,
+    toxicity,
+)
 from shelfwise.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -66,6 +78,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the longest one, and digests of the runs and of the words left."""
+    return periodic.op11(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
@@ -77,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic": op11_periodic,
 }
