@@ -214,15 +214,22 @@ def repeated_tails(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
     g = F.floor(h / 10)
     parts = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    n = F.size(parts)
+    # one struct in an array: a lambda's variable is worked out once, an expression within it at every element
+    whole = F.array(F.struct(parts.alias("words"), g.alias("g")))
+    placed = F.transform(whole, lambda s: F.struct(s.words.alias("words"), s.g.alias("g"), (s.g % F.size(s.words)).cast("int").alias("first")))
+    placed = F.transform(
+        placed,
+        lambda s: F.struct(s.words, s.first, (1 + F.floor((F.size(s.words) - s.first) / (3 + s.g % 8))).cast("int").alias("period")),
+    )
+
+    def repeated(s: Column) -> Column:
+        def number(i: Column) -> Column:
+            return F.when(i < s.first, i).otherwise(s.first + (i - s.first) % s.period)
 
-    def repeated(w: Column) -> Column:
-        first = (g % F.size(w)).cast("int")
-        period = (1 + F.floor((F.size(w) - first) / (3 + g % 8))).cast("int")
-        number = F.sequence(F.lit(0), F.size(w) - 1)
-        return F.array_join(F.transform(number, lambda i: F.get(w, F.when(i < first, i).otherwise(first + (i - first) % period))), " ")
+        return F.array_join(F.transform(s.words, lambda _, i: F.get(s.words, number(i))), " ")
 
-    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), repeated(parts)).otherwise(F.col("text")))
+    tail = F.get(F.transform(placed, repeated), F.lit(0))
+    return docs.withColumn("text", F.when((h % 10 == 0) & (F.size(parts) > 0), tail).otherwise(F.col("text")))
 
 
 def op11(docs: DataFrame) -> DataFrame:
