@@ -12,6 +12,7 @@ from shelfwise.llm import (
     html,
     language,
     licenses,
+    negatives,
     packing,
     periodic,
     quality,
@@ -83,6 +84,11 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.op11(_table(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hard negatives for each anchor and positive."""
+    return negatives.op12(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
@@ -95,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic": op11_periodic,
+    "op12_negatives": op12_negatives,
 }
