@@ -15,6 +15,7 @@ from shelfwise.llm import (
     negatives,
     packing,
     periodic,
+    pii,
     quality,
     simhash,
     substring,
@@ -89,6 +90,11 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.op12(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: the patterns' counts and digest, and all spans."""
+    return pii.op13(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
@@ -102,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic": op11_periodic,
     "op12_negatives": op12_negatives,
+    "op13_pii": op13_pii,
 }
