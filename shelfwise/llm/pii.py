@@ -2,7 +2,7 @@
 
 The patterns find well-formed addresses and numbers. The field labels every word of a text with the first or a
 further word of a kind, or with none, from features of its shape (letters, digits and signs, with and without their
-numbers), of the check digit, of cue words, and of its neighbours' shapes and cues. It is trained in numpy, by the
+numbers), of the check digit, of cue words, of repeats, and of its neighbours' shapes and cues. It is trained in numpy, by the
 gradient of the likelihood from forward and backward sums, on a small labelled table and on words of a bounded sample
 of the corpus; the spans it finds beside the patterns' own are added to them.
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from shelfwise.llm.stage import free_name
 from shelfwise.llm.text import U64, mixed, slices, words
 
-KINDS = ("email", "ip", "card", "phone", "id", "name")
+KINDS = ("email", "ip", "card", "phone", "id")
 LABELS = 1 + 2 * len(KINDS)  # none, then each kind's first and further words
 #: rows of the labelled table that are used, documents and their words that background comes from
 TABLE_ROWS = 4_000
@@ -118,11 +118,10 @@ social security number: {id}
 passport no. {id} issued <date>
 iban {id} for the transfer
 transfer to {id} by <date>
-signed by {name} on <date>
-{name} wrote to {email} about it
-ask {name} for the key
-yours, {name}
-patient {name} born <date>
+signed by <name> on <date>
+<name> wrote to {email} about it
+<repeated>
+<word> <repeated> <word>
 <word> {email} <word>
 <word> {phone} <word> <word>
 <word> {ip} <word>
@@ -158,6 +157,10 @@ the <word> st <word>
 """.split("\n")[1:-1]
 
 
+_SLOT = re.compile(r"\{(\w+)\}|<(\w+)>")
+#: cue words: those of the sentences and of the written-out forms
+_CUES = sorted({w for s in _SENTENCES for w in _SLOT.sub(" ", s).split()} | set("at dot (at) [at] [dot] @".split()))
+
 def _number(rng: random.Random, n: int) -> str:
     return "".join(str(rng.randrange(10)) for _ in range(n))
 
@@ -203,12 +206,11 @@ def _value(rng: random.Random, kind: str) -> str:
     if kind == "id":
         country = pick(["DE", "FR", "ES", "GB"]) + d(2)
         return pick([f"{d(3)}-{d(2)}-{d(4)}"] * 3 + [" ".join([country, *(d(4) for _ in range(4)), d(2)]), country + d(18)])
-    if kind == "name":
-        title = pick(["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Mr", "Mrs", "Dr", "Herr", "Frau", "Señor", "Madame"])
-        return f"{title} " + " ".join(word().capitalize() for _ in range(rng.randrange(1, 3)))
     if kind == "date":
         return pick([f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}/{d(2)}/20{d(2)}", f"{d(1)}.{d(1)}.19{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"19{d(2)}"])
     forms = {
+        "name": ["Mr. " + word().capitalize(), "Dr " + word().capitalize() + " " + word().capitalize()],
+        "repeated": [" ".join([pick([word(), word().capitalize(), word() + ".", pick(_CUES), "at", d(rng.randrange(1, 9))])] * rng.randrange(2, 40))],
         "time": [f"1{d(1)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}pm"],
         "month": [f"0{d(1)}/2{d(1)}", f"1{d(1)}/{d(2)}"],
         "small": [d(1), d(2), d(3), d(2) + "%", d(1) + "." + d(1), "1," + d(3)],
@@ -225,9 +227,6 @@ def _value(rng: random.Random, kind: str) -> str:
     return pick(forms[kind])
 
 
-_SLOT = re.compile(r"\{(\w+)\}|<(\w+)>")
-
-
 def labelled_table(rows: int = 1_500, seed: int = 0) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, spans) of ``rows`` sentences: each of the fixed ones in turn with values made by rule."""
     rng = random.Random(seed)
@@ -250,9 +249,6 @@ def labelled_table(rows: int = 1_500, seed: int = 0) -> list[tuple[str, list[tup
     return out
 
 
-#: cue words: those of the sentences and of the written-out forms
-_CUES = sorted({w for s in _SENTENCES for w in _SLOT.sub(" ", s).split()} | set("at dot (at) [at] [dot] @ mr. mrs. ms. dr. prof. mr mrs dr herr frau señor madame".split()))
-
 # -- features ------------------------------------------------------------------------------------------------------
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -290,7 +286,7 @@ class Shapes:
 def features(data: np.ndarray, found, cues: np.ndarray) -> Shapes:
     """``cues`` are the sorted hashes of the cue words, lower-cased."""
     if not len(found.starts):
-        return Shapes(np.zeros((5, 0), dtype=U64), np.zeros((2, 0), dtype=U64))
+        return Shapes(np.zeros((6, 0), dtype=U64), np.zeros((2, 0), dtype=U64))
     lengths = found.ends - found.starts
     first = np.cumsum(lengths) - lengths
     held = data[np.repeat(found.starts - first, lengths) + np.arange(int(lengths.sum()))]
@@ -313,7 +309,11 @@ def features(data: np.ndarray, found, cues: np.ndarray) -> Shapes:
     count = mixed((np.minimum(digits, 24) * 4 + check).astype(U64) * U64(0x9E3779B1) + U64(7))
     place = np.minimum(np.searchsorted(cues, found.hashes), len(cues) - 1)
     cue = np.where(cues[place] == found.hashes, found.hashes, U64(0))
-    return Shapes(np.stack([spread, coarse, fine, count, cue]), np.stack([coarse, cue]))
+    inner = np.ones(len(first) + 1, dtype=bool)
+    inner[found.bounds] = False
+    same = np.concatenate([[False], found.hashes[1:] == found.hashes[:-1], [False]]) & inner
+    again = mixed((same[:-1] * 2 + same[1:]).astype(U64) + U64(11))
+    return Shapes(np.stack([spread, coarse, fine, count, cue, again]), np.stack([coarse, cue]))
 
 
 def _salted(hashes: np.ndarray, row: int) -> np.ndarray:
@@ -355,7 +355,9 @@ class Field:
         if not n:
             return np.zeros((0, LABELS))
         # words alike in all features are scored once
-        key = shapes.own[0] + mixed(shapes.own[1] + mixed(shapes.own[2] + mixed(shapes.own[3] + mixed(shapes.own[4]))))
+        key = np.zeros(n, dtype=U64)
+        for part in shapes.own:
+            key = mixed(key + part)
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         rows = [[self.weights[self.table.find(_salted(h[first], r))] for r, h in _rows(part)] for part in _views(shapes)]
         own, before, after = (np.sum(r, axis=0) for r in rows)
@@ -370,7 +372,7 @@ class Field:
 
 def _views(shapes: Shapes) -> list[tuple[int, np.ndarray]]:
     """(first feature row, hashes) of a word's own features, those it lends the next word, and the word before."""
-    return [(0, shapes.own), (5, shapes.seen), (7, shapes.seen)]
+    return [(0, shapes.own), (6, shapes.seen), (8, shapes.seen)]
 
 
 def _rows(view: tuple[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:

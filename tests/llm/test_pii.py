@@ -127,9 +127,9 @@ def test_scores_equal_a_plain_sum(field):
     doc = found.doc()
     for i in range(len(doc)):
         want = field.weights[-1].astype(float)
-        parts = [(r, shapes.own[r, i]) for r in range(5)]
-        parts += [(5 + r, shapes.seen[r, i - 1]) for r in range(2) if i and doc[i - 1] == doc[i]]
-        parts += [(7 + r, shapes.seen[r, i + 1]) for r in range(2) if i + 1 < len(doc) and doc[i + 1] == doc[i]]
+        parts = [(r, shapes.own[r, i]) for r in range(6)]
+        parts += [(6 + r, shapes.seen[r, i - 1]) for r in range(2) if i and doc[i - 1] == doc[i]]
+        parts += [(8 + r, shapes.seen[r, i + 1]) for r in range(2) if i + 1 < len(doc) and doc[i + 1] == doc[i]]
         for row, value in parts:
             want = want + field.weights[field.table.find(pii._salted(np.array([value]), row))[0]]
         assert got[i] == pytest.approx(want, abs=1e-4)
