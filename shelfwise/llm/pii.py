@@ -34,7 +34,7 @@ TABLE_ROWS = 4_000
 BACKGROUND_DOCS = 200
 BACKGROUND_WORDS = 60
 EPOCHS = 60
-RATE = 0.25
+RATE = 0.5
 DECAY = 2e-3
 
 # The base patterns, written so that they need one pass over any text.
@@ -227,7 +227,7 @@ def _value(rng: random.Random, kind: str) -> str:
     return pick(forms[kind])
 
 
-def labelled_table(rows: int = 1_500, seed: int = 0) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_table(rows: int = 3_000, seed: int = 0) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, spans) of ``rows`` sentences: each of the fixed ones in turn with values made by rule."""
     rng = random.Random(seed)
     out = []
@@ -587,21 +587,35 @@ SPANS = T.ArrayType(
 )
 
 
+def _stretch(text: str) -> tuple[str, list[tuple[str, int, int]]] | None:
+    """Words of the text around its first base span, or its middle, with the base spans among them."""
+    found = base_spans(text)
+    near = found[0][0] if found else len(text) // 2
+    places = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    middle = sum(a < near for a, _ in places)
+    held = places[max(0, middle - BACKGROUND_WORDS // 2) :][:BACKGROUND_WORDS]
+    if not held:
+        return None
+    a, b = held[0][0], held[-1][1]
+    return text[a:b], [(k, max(s, a) - a, min(e, b) - a) for s, k, e in found if s < b and e > a]
+
+
 def background(docs: DataFrame) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Stretches of some documents (the first by hash), labelled by the base patterns alone."""
-    some = docs.where("text is not null and text <> ''").select("text", F.xxhash64("text").alias("turn"))
-    rows = []
-    for r in some.orderBy("turn", "text").limit(BACKGROUND_DOCS).select("text").collect():
-        found = base_spans(r.text)
-        near = found[0][0] if found else len(r.text) // 2
-        places = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", r.text)]
-        middle = sum(a < near for a, _ in places)
-        held = places[max(0, middle - BACKGROUND_WORDS // 2) :][:BACKGROUND_WORDS]
-        if held:
-            a, b = held[0][0], held[-1][1]
-            spans = [(k, max(s, a) - a, min(e, b) - a) for s, k, e in found if s < b and e > a]
-            rows.append((r.text[a:b], spans))
-    return rows
+    """Stretches of the first different texts by hash, labelled by the base patterns alone."""
+    schema = "text string, spans array<struct<kind: string, start: long, end: long>>"
+    to = pa.schema([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [x for t in batch.column("text") if (x := _stretch(t.as_py()))]
+            spans = [[dict(zip(("kind", "start", "end"), s)) for s in x[1]] for x in made]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], to.field(0).type), pa.array(spans, to.field(1).type)], schema=to)
+
+    hashed = docs.where("text is not null and text <> ''").select("text", F.xxhash64("text").alias("turn"))
+    turns = hashed.select("turn").distinct().orderBy("turn").limit(BACKGROUND_DOCS)
+    some = hashed.join(F.broadcast(turns), "turn").groupBy("turn").agg(F.any_value("text").alias("text"))
+    rows = some.select("text").mapInArrow(run, schema).collect()  # BACKGROUND_DOCS stretches at most
+    return sorted((r.text, [tuple(s) for s in r.spans]) for r in rows)
 
 
 def train(docs: DataFrame, table: list[tuple[str, list[tuple[str, int, int]]]] | None = None) -> Field:
