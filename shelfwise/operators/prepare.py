@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, PCAModel
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import settings as S
-from shelfwise.functions.ordered import exact_quantiles
+from shelfwise.functions.ordered import order_statistics, quantile_positions
 
 PARAMETER_SCHEMA = (
     "feature string, low double, high double, fill double, centre double, spread double"
@@ -31,13 +32,39 @@ class FeatureRange:
 Ranges = dict[str, FeatureRange]
 
 
-def _quantiles(table: DataFrame, probs: dict[str, float]) -> dict[str, dict[str, float]]:
-    """Exact quantiles of every feature; ten small rows come back as fitted parameters."""
+def _filled_positions(probs: dict[str, float]) -> dict:
+    """Where the quantiles of a column lie among its own values once its blanks hold its median.
+
+    The filled values stand behind the lower of the two middle values, so positions up to there stay, positions beyond
+    them move by the number of blanks, and those in between (NULL) are the median.
+    """
+
+    def moved(p: float, end):
+        def at(n, blanks):
+            place, middle = end(F.lit(p) * (n + blanks - 1)), F.floor((n - 1) / 2)
+            return F.when(place <= middle, place).when(place > middle + blanks, place - blanks)
+
+        return at
+
+    return {f"{name}_{side}": moved(p, end) for name, p in probs.items() for side, end in (("lo", F.floor), ("hi", F.ceil))}
+
+
+_QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
+def _order(table: DataFrame, low: float, high: float) -> dict[str, dict]:
+    """The order statistics of every feature; ten rows come back."""
     long = table.select(*S.FEATURES).unpivot([], S.FEATURES, "feature", "value")
-    rows = exact_quantiles(long, "value", probs, ["feature"]).collect()
+    outer = quantile_positions({"low": low, "mid": 0.5, "high": high})
+    rows = order_statistics(long, "value", outer | _filled_positions(_QUARTILES), ["feature"]).collect()
     return {r["feature"]: r.asDict() for r in rows}
 
 
+def _between(row: dict, name: str, p: float, n: int) -> float:
+    position = p * (n - 1)
+    return row[f"{name}_lo"] + (row[f"{name}_hi"] - row[f"{name}_lo"]) * (position - math.floor(position))
+
+
 def _clip_fill(features: DataFrame, ranges: dict[str, tuple[float, float, float]]) -> DataFrame:
     def column(c: str):
         low, high, fill = ranges[c]
@@ -50,18 +77,34 @@ def _clip_fill(features: DataFrame, ranges: dict[str, tuple[float, float, float]
     return features.select(S.KEY, *[column(c) for c in S.FEATURES])
 
 
+def fit_ranges(features: DataFrame, low: float = 0.01, high: float = 0.99) -> Ranges:
+    """Everything clip, fill and scale need, from one selection over all features.
+
+    The median lies between the clip limits, so clipping does not move it, and the quartiles of the clipped and filled
+    column are clipped order statistics of the raw one. A feature nobody has becomes zero.
+    """
+    found = _order(features, low, high)
+    out = {}
+    for c in S.FEATURES:
+        if c not in found:
+            out[c] = FeatureRange(0.0, 0.0, 0.0, 0.0, 1.0)
+            continue
+        row, n = found[c], found[c]["_total"]
+        bottom, fill, top = (_between(row, k, p, n) for k, p in (("low", low), ("mid", 0.5), ("high", high)))
+        for name in _QUARTILES:
+            for side in ("lo", "hi"):
+                v = row[f"{name}_{side}"]
+                row[f"{name}_{side}"] = min(max(fill if v is None else v, bottom), top)
+        q = {name: _between(row, name, p, n + row["_blanks"]) for name, p in _QUARTILES.items()}
+        out[c] = FeatureRange(bottom, top, fill, centre=q["q2"], spread=(q["q3"] - q["q1"]) or 1.0)
+    return out
+
+
 def clip_fill_ranges(
     features: DataFrame, low: float = 0.01, high: float = 0.99
 ) -> dict[str, tuple[float, float, float]]:
-    """Clip limits and fill value per feature.
-
-    The median lies between the clip limits, so clipping does not move it and one pass gives all
-    three numbers. A feature nobody has becomes zero.
-    """
-    found = _quantiles(features, {"low": low, "mid": 0.5, "high": high})
-    absent = {"low": 0.0, "mid": 0.0, "high": 0.0}
-    picked = {c: found.get(c, absent) for c in S.FEATURES}
-    return {c: (q["low"], q["high"], q["mid"]) for c, q in picked.items()}
+    """Clip limits and fill value per feature."""
+    return {c: (r.low, r.high, r.fill) for c, r in fit_ranges(features, low, high).items()}
 
 
 def clip_fill(features: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -69,20 +112,6 @@ def clip_fill(features: DataFrame, low: float = 0.01, high: float = 0.99) -> Dat
     return _clip_fill(features, clip_fill_ranges(features, low, high))
 
 
-def fit_ranges(features: DataFrame, low: float = 0.01, high: float = 0.99) -> Ranges:
-    """Everything clip, fill and scale need. ``features`` is read twice: stage it."""
-    limits = clip_fill_ranges(features, low, high)
-    filled = _quantiles(_clip_fill(features, limits), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    return {
-        c: FeatureRange(
-            *limits[c],
-            centre=filled[c]["q2"],
-            spread=(filled[c]["q3"] - filled[c]["q1"]) or 1.0,
-        )
-        for c in S.FEATURES
-    }
-
-
 def robust_scale(features: DataFrame, ranges: Ranges) -> DataFrame:
     """Clipped and filled features, centred on the median and divided by the quartile range."""
     limits = {c: (r.low, r.high, r.fill) for c, r in ranges.items()}

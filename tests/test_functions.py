@@ -6,7 +6,14 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import average_rank, exact_quantiles, position_by
+from shelfwise.functions.ordered import (
+    average_rank,
+    exact_quantiles,
+    order_statistics,
+    ordered_bits,
+    position_by,
+    value_of_bits,
+)
 from shelfwise.functions.stats import ln_gamma, student_t_two_sided
 from shelfwise.sources import pos_csv
 
@@ -36,6 +43,57 @@ def test_quantiles_equal_numpy(spark, numbers):
             assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
+NARROW = {
+    "narrow": lambda rng, n: 50 + 0.04 * rng.random(n),
+    "tiny": lambda rng, n: 1e-9 * rng.random(n) - 3e-10,
+    "one": lambda rng, n: np.full(n, 12.5),
+    "wide": lambda rng, n: rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n),
+}
+
+
+def test_narrow_values_and_ties_are_selected_by_their_bits(spark):
+    n, probs = 150_000, {"lo": 0.01, "mid": 0.5, "hi": 0.9}
+    made = {name: f(np.random.default_rng(3), n) for name, f in NARROW.items()}
+    table = spark.createDataFrame(pd.DataFrame(made).sample(frac=1, random_state=1))
+    long = table.unpivot([], list(made), "g", "v")
+    got = {r.g: r for r in exact_quantiles(long, "v", probs, ["g"]).collect()}
+    for name, values in made.items():
+        for slot, p in probs.items():
+            assert got[name][slot] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_every_round_of_bits(spark, numbers):
+    hot = numbers[numbers.g == "hot"]
+    values = np.sort(hot.v)
+    at = {f"p{i}": (lambda n, _, i=i: F.lit(i)) for i in (0, 7, 1999, 2600, 3999)}
+    for room in (0, 1, 100):  # none, and few, of the buckets are sorted
+        got = order_statistics(spark.createDataFrame(hot), "v", at, room=room).collect()
+        assert len(got) == 1 and got[0]["_total"] == 4000
+        assert [got[0][name] for name in at] == [values[int(name[1:])] for name in at]
+
+
+def test_bits_order_as_doubles_do(spark):
+    values = [-np.inf, -1e300, -1.5, -5e-324, 0.0, 5e-324, 1e-9, 1.5, np.inf]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = table.select("v", ordered_bits(F.col("v")).alias("u")).select("v", "u", value_of_bits(F.col("u")).alias("w")).collect()
+    assert [r.w for r in sorted(rows, key=lambda r: r.u)] == values
+    blank = spark.createDataFrame([(None,), (float("nan"),), (-0.0,)], "v double").select(ordered_bits(F.col("v")))
+    assert sorted(blank.collect(), key=repr) == [(0,), (None,), (None,)]
+
+
+def test_ties_of_a_hot_value_are_split_over_tasks(spark):
+    n = 200_000
+    table = spark.range(n).select(F.format_string("%07d", "id").alias("id"), F.lit(7.0).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows would be put together
+    try:
+        got = position_by(table, "v", "id", "place", "running")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got.where("place <> cast(id as long) + 1 or abs(running - 7.0 * place) > 1e-6").count() == 0
+    assert max(sizes) < n / 2
+
+
 def test_average_rank_equals_pandas(spark, numbers):
     table = spark.createDataFrame(numbers).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     got = average_rank(table, "v", ["g"], "r", "n").toPandas().set_index("id").sort_index()
