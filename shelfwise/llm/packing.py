@@ -27,27 +27,37 @@ from shelfwise.llm.stage import stage
 CAPACITY = 1024
 END_ID = 2
 SHARES = 512
-#: pre-tokens a task keeps the ids of
-CACHE = 200_000
+#: pre-tokens that a worker keeps the ids of, those met lately and as many met before
+CACHE = 300_000
 
-# The pre-token pattern of the byte-level vocabulary, for texts of the plain alphabet below.
+# The pre-token pattern of the byte-level vocabulary, for texts of the plain alphabet below. Words come first,
+# as most pre-tokens are; no other alternative begins like one.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]*")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  #: the ASCII characters that are not plain
 _PIECES = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ɏ]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\r0-9A-Za-zÀ-ɏ]+"
+    r" ?[A-Za-zÀ-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^ \t\n\x0b\x0c\r0-9A-Za-zÀ-ɏ]+"
     r"|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+"
 )
 
 
 class _Ids(dict):
-    """The ids of a pre-token as bytes, from the tokenizer at the first time."""
+    """The ids of a pre-token as bytes, from the tokenizer at the first time.
+
+    When full it becomes the older generation, and what is met again comes back from there: frequent pre-tokens stay.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        made = self[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        made = self.older.get(piece)
+        if made is None:
+            made = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = made
         return made
 
 
@@ -65,7 +75,8 @@ def encoder(path: str):
     known = _Ids(tokenizer)
 
     def encode(text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and not any(s in text for s in special):
+        plain = not any(c in text for c in _SEPARATORS) if text.isascii() else _PLAIN.fullmatch(text)
+        if plain and not any(s in text for s in special):
             return b"".join(map(known.__getitem__, _PIECES.findall(text)))
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

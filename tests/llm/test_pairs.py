@@ -77,6 +77,45 @@ def test_buckets_give_the_same_links_in_parts():
     assert len(whole) and set(whole.ravel().tolist()) == set(parts.ravel().tolist())
 
 
+def _joined(links: np.ndarray) -> set[frozenset]:
+    up: dict[int, int] = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for a, b in links.tolist():
+        up[top(a)] = top(b)
+    groups = defaultdict(set)
+    for v in list(up):
+        groups[top(v)].add(v)
+    return set(map(frozenset, groups.values()))
+
+
+def test_a_dense_ball_gives_a_forest_and_its_shares_give_the_same():
+    rng = np.random.default_rng(2)
+    flips = rng.integers(14, 54, (1500, 3)).astype(np.uint64)
+    fps = np.unique(np.bitwise_xor.reduce(np.uint64(1) << flips, axis=1) ^ np.uint64(0x5A5A5A5A5A5A5A5A))
+    bucket = int(fps[0] >> np.uint64(54))
+    whole = simhash.bucket_links(fps, bucket, 10, 4, room=1 << 24)
+    assert 500 < len(whole) < len(fps) and (whole[:, 0] < whole[:, 1]).all()
+    shares = [simhash.bucket_links(fps, bucket, 10, 4, room=1 << 14, share=i, share_bits=2) for i in range(4)]
+    assert all(len(s) < len(fps) for s in shares)
+    assert _joined(np.concatenate(shares)) == _joined(whole)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    pairs = np.argwhere(np.triu(near, 1))
+    assert _joined(fps[pairs]) == _joined(whole)
+
+
+def test_full_buckets_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_FINGERPRINTS", 20)
+    rows = _near_copies(random.Random(1)) + [(2000 + i, prose(random.Random(i), 40), "en", "s", 1) for i in range(40)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    want = _brute_components([(r.doc_id, r.fp) for r in found])
+    assert {((r.doc_id, r.fp), r.component_id) for r in found} == set(want.items())
+
+
 def test_keep_one_keeps_every_group_and_all_columns(spark, awkward_docs, awkward_rows):
     named = awkward_docs.withColumnRenamed("source", "fp").withColumnRenamed("lang", "text_hash")
     kept = simhash.keep_one(named)
