@@ -356,8 +356,8 @@ def _rounded(columns: list[str], digits: int = 6) -> str:
     )
 
 
-def _sql(last: str, *steps: str) -> str:
-    return "WITH " + ",".join([PANEL, *steps]) + "\n" + last.strip()
+def _sql(last: str, *steps: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join([PANEL, *steps]) + "\n" + last.strip()
 
 
 _CLEAN = _clean()
@@ -368,29 +368,38 @@ _PRICE = "total_sales / nullif(total_units, 0)"
 
 
 
-def _lloyd(k: int, steps: int = 60) -> str:
-    """Lloyd's steps over ``scaled`` from the first k products, unrolled; more of them than any fit here takes."""
-    parts = [
-        f"""
-c{k}_0 AS MATERIALIZED (
-  SELECT s.n AS c, feature, v FROM scaled JOIN (
-    SELECT rgm_ppg, row_number() OVER (ORDER BY rgm_ppg) AS n FROM (SELECT DISTINCT rgm_ppg FROM scaled)
-    QUALIFY n <= {k}) s USING (rgm_ppg))"""
-    ]
-    for i in range(steps):
-        parts.append(f"""
-l{k}_{i} AS MATERIALIZED (
-  SELECT rgm_ppg, arg_min(c, d) AS c, min(d) AS d FROM (
-    SELECT rgm_ppg, c, sum((s.v - m.v) * (s.v - m.v)) AS d
-    FROM scaled s JOIN c{k}_{i} m USING (feature) GROUP BY rgm_ppg, c) GROUP BY rgm_ppg),
-c{k}_{i + 1} AS MATERIALIZED (
-  SELECT c, feature, avg(v) AS v FROM scaled JOIN l{k}_{i} USING (rgm_ppg) GROUP BY c, feature)""")
-    last = f"l{k}_{steps - 1}"
-    parts.append(f"""
-g{k} AS (
-  SELECT c, count(*) AS n, sum(d) AS cost,
-         row_number() OVER (ORDER BY count(*) DESC, min(rgm_ppg)) - 1 AS number FROM {last} GROUP BY c)""")
-    return ",".join(parts)
+def _lloyd(ks: str) -> str:
+    """Lloyd's iteration over ``scaled`` for every k of ``ks`` from the first k products.
+
+    The state of one k is one row: all centres in one list, until no coordinate moves.
+    """
+    return f"""
+points AS MATERIALIZED (
+  SELECT rgm_ppg, list(v ORDER BY feature) AS x, row_number() OVER (ORDER BY rgm_ppg) AS n FROM scaled GROUP BY rgm_ppg),
+size AS MATERIALIZED (SELECT max(len(x)) AS f FROM points),
+wanted AS (SELECT unnest({ks}) AS k),
+steps(k, step, flat, moved) AS (
+  SELECT k, 0, flatten(list(x ORDER BY n)), true FROM wanted JOIN points ON n <= k GROUP BY k
+  UNION ALL
+  SELECT k, step + 1, made, list_distance(made, flat) > 1e-9 FROM (
+    SELECT k, step, any_value(flat) AS flat, list(coalesce(mean, old) ORDER BY i) AS made FROM (
+      SELECT o.k, o.step, o.flat, o.i, o.old, m.mean FROM (
+        SELECT k, step, flat, unnest(flat) AS old, unnest(range(len(flat))) AS i FROM steps WHERE moved AND step < 300) o
+      LEFT JOIN (
+        SELECT k, c * f + j AS i, avg(v) AS mean FROM (
+          SELECT k, c, f, unnest(x) AS v, unnest(range(f)) AS j FROM (
+            SELECT k, any_value(x) AS x, any_value(f) AS f, arg_min(c, list_distance(x, flat[c * f + 1 : (c + 1) * f])) AS c
+            FROM (SELECT k, flat, unnest(range(k)) AS c FROM steps WHERE moved AND step < 300), points, size
+            GROUP BY k, rgm_ppg)) GROUP BY k, c * f + j) m
+      ON o.k = m.k AND o.i = m.i) GROUP BY k, step)),
+fitted AS MATERIALIZED (
+  SELECT k, rgm_ppg, arg_min(c, d) AS c, min(d) AS d FROM (
+    SELECT k, rgm_ppg, c, list_distance(x, flat[c * f + 1 : (c + 1) * f]) ** 2 AS d
+    FROM (SELECT k, flat, unnest(range(k)) AS c FROM (SELECT k, arg_max(flat, step) AS flat FROM steps GROUP BY k)), points, size)
+  GROUP BY k, rgm_ppg),
+sizes AS (
+  SELECT k, c, count(*) AS n, sum(d) AS cost,
+         row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(rgm_ppg)) - 1 AS number FROM fitted GROUP BY k, c)"""
 
 
 ORACLE: dict[str, str] = {
@@ -950,19 +959,19 @@ ORACLE |= {
         _silhouettes("labels"),
     ),
     "kmeans_from_starts": _sql(
-        'SELECT rgm_ppg, cast(number AS int) AS "group" FROM l3_59 JOIN g3 USING (c)',
+        'SELECT rgm_ppg, cast(number AS int) AS "group" FROM fitted JOIN sizes USING (k, c)',
         _FEATURES,
         _SCALED,
-        _lloyd(3),
+        _lloyd("[3]"),
+        recursive=True,
     ),
     "scan_from_starts": _sql(
-        " UNION ALL ".join(
-            f"SELECT {k} AS groups, round(sum(cost), 5) AS inertia, round(max(n) / sum(n), 5) AS biggest_group FROM g{k}"
-            for k in range(2, 6)
-        ),
+        """
+SELECT k AS groups, round(sum(cost), 5) AS inertia, round(max(n) / sum(n), 5) AS biggest_group FROM sizes GROUP BY k""",
         _FEATURES,
         _SCALED,
-        *[_lloyd(k) for k in range(2, 6)],
+        _lloyd("range(2, 11)"),
+        recursive=True,
     ),
     "silhouette": _sql(
         """

@@ -705,7 +705,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The scan of the scaled features, every k from its first products as starting centres."""
     points = _scaled_banded(spark, sf)
-    ks = range(2, 6)
+    ks = range(2, 11)
     fits = cluster.fit_runs(points, [cluster.Run(k, 1, starts=_first_products(points, k)) for k in ks])
     labelled = cluster.with_labels(points, [f.centres for f in fits])
     shares = (
