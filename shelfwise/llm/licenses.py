@@ -1,7 +1,9 @@
 """License scan as an exact set-similarity join between text blocks and license templates, in DataFrame functions only.
 
-A block is a line together with the one after it. Both sides are sets of the templates' words, ordered from the
-rarest word of the corpus to the most frequent. A block reaches a template's containment threshold only if it has
+Templates are dealt to reaches, the powers of two from 8 on: one of n words to the least reach r >= n. A block of reach r
+is 2r consecutive words from a multiple of r on, wherever lines end, so any r consecutive words of a text lie in one block,
+and words that stand further apart than 2r never make up a template. Both sides are sets of the templates' words, ordered
+from the rarest word of the corpus to the most frequent. A block reaches a template's containment threshold only if it has
 enough of its words (length), shares a word with the template's rarest ``size - needed + 1`` (prefix), and has enough
 words left behind the first shared one on both sides (position). Pairs that pass are verified by the intersection.
 Every pair at or over the threshold is found; the filters only spare work.
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.stage import stage
 
 THRESHOLD = 0.9
+SHORTEST_REACH = 8
 
 # Phrases and labels of the base scan.
 PHRASES = [
@@ -61,10 +64,18 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def _spaced(text: Column, keep_lines: bool) -> Column:
-    """A-Z lowered, everything but words (and, if asked, line ends) as single blanks."""
-    other = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+" if keep_lines else r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    return F.regexp_replace(F.translate(text, _UPPER, _LOWER), other, " ")
+def reach(template: str) -> int:
+    """The least power of two, from the shortest reach on, that is no less than the template's words."""
+    size = SHORTEST_REACH
+    while size < len(template.split()):
+        size *= 2
+    return size
+
+
+def _spaced(text: Column) -> Column:
+    """A-Z lowered, words parted by single blanks."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    return F.trim(F.regexp_replace(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def _words(spaced: Column) -> Column:
@@ -91,7 +102,7 @@ def _starts(words: Column, phrase: str) -> Column:
 def base_scan(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per row: doc_id, row (a key of id and text), n_words, starts of phrases, base labels, and its words of the vocabulary."""
     spaced = docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.trim(_spaced(F.coalesce("text", F.lit("")), False)).alias("spaced")
+        "doc_id", F.xxhash64("doc_id", "text").alias("row"), _spaced(F.col("text")).alias("spaced")
     ).withColumn("words", _words(F.col("spaced")))
     words, padded = F.col("words"), F.concat(F.lit(" "), F.col("spaced"), F.lit(" "))
     none = F.array().cast("array<int>")
@@ -111,46 +122,59 @@ def _templates(order: dict[str, int], threshold: float) -> list[tuple]:
     made = []
     for number, (label, text) in enumerate(TEMPLATES):
         held = sorted(set(text.split()), key=lambda w: (order.get(w, 0), w))
-        made.append((number, label, held, len(held), needed(len(held), threshold)))
+        made.append((number, reach(text), label, held, len(held), needed(len(held), threshold)))
     return made
 
 
+def _blocks(r: int, made: list[tuple], rank: dict[str, int]) -> Column:
+    """The blocks of reach r that hold a prefix word of its templates: reach, first word, template words from the rarest on."""
+    vocabulary = sorted({w for m in made for w in m[3]}, key=rank.__getitem__)
+    prefixes = sorted({w for *_, held, size, need in made for w in held[: size - need + 1]})
+    around = F.transform("words", lambda w, i: F.when(w.isin(prefixes), F.array((i / r).cast("int") - 1, (i / r).cast("int"))))
+    starts = F.filter(F.array_distinct(F.flatten(F.array_compact(around))), lambda k: k >= 0)
+    # a set in frequency order is the vocabulary in its order without what the block lacks
+    return F.transform(
+        starts,
+        lambda k: F.struct(
+            F.lit(r).alias("reach"),
+            (k * r).alias("block"),
+            F.array_intersect(_strings(vocabulary), F.slice("words", k * r + 1, 2 * r)).alias("b"),
+        ),
+    )
+
+
 def matches(docs: DataFrame, scan: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, block (number of its first line), label and containment of every block and template at or over the threshold."""
+    """row, reach, block (its first word), label and containment of every block and template at or over the threshold."""
     spark = docs.sparkSession
     # how many documents hold each word of the templates: as many rows as those have words
-    counts = scan.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
-    made = _templates({r.w: r.n for r in counts}, threshold)
-    frequency = {r.w: r.n for r in counts}
-    vocabulary = sorted({w for m in made for w in m[2]}, key=lambda w: (frequency.get(w, 0), w))
-    prefixes = sorted({w for _, _, held, size, need in made for w in held[: size - need + 1]})
-    least = min(need for *_, need in made)
-    templates = spark.createDataFrame(made, "template int, label string, t array<string>, t_size int, needed int").select(
+    counts = {r.w: r.n for r in scan.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    made = _templates(counts, threshold)
+    ordered = sorted({w for *_, held, _, _ in made for w in held}, key=lambda w: (counts.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(ordered)}
+    reaches = sorted({m[1] for m in made})
+    least = F.lit(None)
+    for r in reaches:
+        least = F.when(F.col("reach") == r, min(m[5] for m in made if m[1] == r)).otherwise(least)
+    templates = spark.createDataFrame(made, "template int, reach int, label string, t array<string>, t_size int, needed int").select(
         "*", F.posexplode(F.slice("t", F.lit(1), F.col("t_size") - F.col("needed") + 1)).alias("t_at", "w")
     )
-    lines = F.split(_spaced(F.col("text"), True), "\n")
-    pairs = F.transform("lines", lambda x, i: F.concat_ws(" ", x, F.get(F.col("lines"), i + 1)))
-    # a set in frequency order is the vocabulary in its order without what the block lacks
-    ordered = F.array_intersect(_strings(vocabulary), F.split("spaced", " "))
     blocks = (
         docs.where("text is not null")
-        .select(F.xxhash64("doc_id", "text").alias("row"), lines.alias("lines"))
-        .select("row", F.posexplode(pairs).alias("block", "spaced"))
-        .where(F.arrays_overlap(F.split("spaced", " "), _strings(prefixes)))
-        .select("row", "block", ordered.alias("b"))
-        .withColumn("b_size", F.size("b"))
-        .where(F.col("b_size") >= least)
-        .select("*", F.posexplode(F.slice("b", F.lit(1), F.col("b_size") - least + 1)).alias("b_at", "w"))
+        .select(F.xxhash64("doc_id", "text").alias("row"), _words(_spaced(F.col("text"))).alias("words"))
+        .select("row", F.inline(F.concat(*[_blocks(r, [m for m in made if m[1] == r], rank) for r in reaches])))
+        .select("*", F.size("b").alias("b_size"), least.alias("least"))
+        .where("b_size >= least")
+        .select("*", F.posexplode(F.slice("b", F.lit(1), F.col("b_size") - F.col("least") + 1)).alias("b_at", "w"))
     )
     first = F.size(F.array_intersect(F.slice("t", F.lit(1), F.col("t_at")), F.slice("b", F.lit(1), F.col("b_at")))) == 0
     possible = F.least(F.col("t_size") - F.col("t_at"), F.col("b_size") - F.col("b_at")) >= F.col("needed")
     shared = F.size(F.array_intersect("t", "b"))
     return (
-        blocks.join(F.broadcast(templates), "w")  # the templates above, nothing of the corpus
+        blocks.join(F.broadcast(templates), ["reach", "w"])  # the templates above, nothing of the corpus
         .where((F.col("b_size") >= F.col("needed")) & possible & first)
         .withColumn("shared", shared)
         .where("shared >= needed")
-        .select("row", "block", "label", (F.col("shared") / F.col("t_size")).alias("containment"))
+        .select("row", "reach", "block", "label", (F.col("shared") / F.col("t_size")).alias("containment"))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, needed
+from shelfwise.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, needed, reach
 
 SUBSTRING = r"""
 WITH held AS (
@@ -57,13 +57,13 @@ def _licenses() -> str:
     """Every phrase at every word, and every template against every block, without filters."""
     phrases = ", ".join(f"('{p}', '{label}', {p.count(' ') + 1})" for p, label in PHRASES)
     templates = ", ".join(
-        f"('{label}', string_split('{' '.join(held)}', ' '), {len(held)}, {needed(len(held), THRESHOLD)})"
+        f"('{label}', string_split('{' '.join(held)}', ' '), {len(held)}, {needed(len(held), THRESHOLD)}, {reach(text)})"
         for label, text in TEMPLATES
         for held in [sorted(set(text.split()))]
     )
     return f"""
 WITH held AS (
-  SELECT doc_id, regexp_extract_all({_LOWERED}, {_WORD}) AS ws, string_split({_LOWERED}, chr(10)) AS lines FROM documents
+  SELECT doc_id, regexp_extract_all({_LOWERED}, {_WORD}) AS ws FROM documents
 ), phrases(phrase, label, n) AS (VALUES {phrases}),
 starts AS (
   SELECT doc_id, label, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM held), phrases
@@ -72,13 +72,13 @@ starts AS (
   SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word,
     list_sort(list(DISTINCT label)) AS labels
   FROM starts GROUP BY doc_id
-), templates(label, t, size, needed) AS (VALUES {templates}),
+), templates(label, t, size, needed, r) AS (VALUES {templates}),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(lines[i] || ' ' || coalesce(lines[i + 1], ''), {_WORD})) AS b
-  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM held)
+  SELECT doc_id, r, list_distinct(ws[k * r + 1 : (k + 2) * r]) AS b
+  FROM (SELECT doc_id, ws, r, unnest(range(0, (len(ws) + r - 1) // r)) AS k FROM held, (SELECT DISTINCT r FROM templates))
 ), found AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(t, b)) / size) AS best
-  FROM blocks, templates WHERE len(list_intersect(t, b)) >= needed GROUP BY doc_id
+  FROM blocks JOIN templates USING (r) WHERE len(list_intersect(t, b)) >= needed GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import random
+import textwrap
 import re
 import zlib
 
@@ -215,6 +216,39 @@ def test_license_scan_equals_sql(spark, awkward_rows):
     assert sorted(r.n_base for r in licenses.op5(repeated).collect()) == [0, 1, 1]
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+GPL = licenses.TEMPLATES[0][1]
+
+
+def test_license_templates_are_found_however_they_are_wrapped(spark):
+    def laid_out(text: str, width: int, between: str) -> str:
+        return between.join(textwrap.wrap(text, width))
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for text, label in ((MIT, "mit"), (GPL, "gpl")):
+        for width in (20, 40, 60, 80, 200):
+            for between in ("\n", "\n\n", "\r\n * ", " "):
+                for before in (0, 7, 33):
+                    want[len(rows)] = label
+                    rows.append((len(rows), f"{prose(rng, before)}\n{laid_out(text, width, between)}\n{prose(rng, 20)}", "en", "s", 1))
+        want[len(rows)] = label
+        rows.append((len(rows), text.replace(" ", "\n"), "en", "s", 1))
+    far = len(rows)
+    rows.append((far, " ".join(f"{w} {prose(rng, 7000)}" for w in ("copyright", "all", "rights", "reserved")), "en", "s", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in licenses.op5(docs).collect()}
+    assert all(label in got[i].labels.split(",") for i, label in want.items())
+    assert got[far].labels == "" and got[far].score < 0.9
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert difference(licenses.op5(docs).toPandas(), con.execute(ORACLE["op5_licenses"]).df()) is None
+
+
+def test_license_scan_of_no_documents(spark):
+    assert licenses.op5(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # --- classifiers
 
 
