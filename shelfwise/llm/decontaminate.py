@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.text import ALNUM, LOWER, arrow_rows, shingles, slices, words
+from shelfwise.llm.text import ALNUM, LOWER, arrow_rows, shingles, slices, tidied, words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -110,6 +110,7 @@ def _found(indexes: list[ItemIndex], texts: pa.Array) -> Iterator[tuple[int, int
 
 
 def _search(indexes: list[ItemIndex]):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -120,6 +121,7 @@ def _search(indexes: list[ItemIndex]):
 
 
 def _sift(indexes: list[ItemIndex], at: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)

@@ -10,6 +10,7 @@ shares and needs no task to see all pieces of one length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfwise.llm.stage import stage
+from shelfwise.llm.text import tidied
 
 CAPACITY = 1024
 END_ID = 2
 SHARES = 512
 #: pre-tokens that a worker keeps the ids of, those met lately and as many met before
-CACHE = 300_000
+CACHE = 100_000
+#: characters of texts whose unknown pre-tokens go to the tokenizer in one call
+TOGETHER = 1 << 18
 
 # The pre-token pattern of the byte-level vocabulary, for texts of the plain alphabet below. Words come first,
 # as most pre-tokens are; no other alternative begins like one.
@@ -41,7 +45,7 @@ _PIECES = re.compile(
 
 
 class _Ids(dict):
-    """The ids of a pre-token as bytes, from the tokenizer at the first time.
+    """The ids of pre-tokens as bytes, from the tokenizer at the first time.
 
     When full it becomes the older generation, and what is met again comes back from there: frequent pre-tokens stay.
     """
@@ -50,39 +54,68 @@ class _Ids(dict):
         self.tokenizer = tokenizer
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+    def learn(self, held: set[str]) -> None:
+        """Makes all of ``held`` known; those in neither generation are one call of the tokenizer."""
+        missing = held.difference(self)
+        if len(self) + len(missing) > CACHE:
             self.older = dict(self)
             self.clear()
-        made = self.older.get(piece)
-        if made is None:
-            made = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = made
-        return made
+            missing = held
+        new = [p for p in missing if p not in self.older]
+        self.update((p, self.older[p]) for p in missing.difference(new))
+        for piece, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self[piece] = array("I", made.ids).tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes.
+def batch_encoder(path: str):
+    """texts -> the ids of each as little-endian unsigned 32-bit bytes.
 
     Texts of the plain alphabet are cut into pre-tokens here, which do not depend on each other, so that a pre-token
     met before costs one look-up, also in a later task of the same worker; all others, and texts with a special token's string, go to the tokenizer whole.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     known = _Ids(tokenizer)
 
-    def encode(text: str) -> bytes:
-        plain = not any(c in text for c in _SEPARATORS) if text.isascii() else _PLAIN.fullmatch(text)
-        if plain and not any(s in text for s in special):
-            return b"".join(map(known.__getitem__, _PIECES.findall(text)))
-        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def plain(text: str) -> bool:
+        alphabet = not any(c in text for c in _SEPARATORS) if text.isascii() else _PLAIN.fullmatch(text)
+        return bool(alphabet) and not any(s in text for s in special)
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        cut = [_PIECES.findall(t) if plain(t) else None for t in texts]
+        known.learn(set().union(*[c for c in cut if c is not None]))
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                yield array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                yield b"".join(map(known.__getitem__, parts))
 
     return encode
 
 
+def encoder(path: str):
+    """text -> its ids as `batch_encoder` gives them."""
+    encode = batch_encoder(path)
+    return lambda text: next(encode([text]))
+
+
+def _together(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, some characters' worth at a time; nulls are empty."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _PIECE_SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -101,12 +134,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
     end = array("I", [end_id]).tobytes()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = batch_encoder(path)
         for batch in batches:
             rows = [[] for _ in _PIECE_SCHEMA]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            made = (ids for texts in _together(batch.column("text")) for ids in encode(texts))
+            for doc, known in zip(batch.column("doc_id").to_pylist(), made):
+                ids = memoryview(known + end)
                 at, number = 0, 0
                 size = len(ids) // 4
                 step = size % capacity or capacity
@@ -197,6 +232,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shares: int = SHARES) -> Data
     columns = cut.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, table = sent.value
         # one increasing key over (length, number)

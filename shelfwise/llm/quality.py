@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.labelled import fold, training_rows
-from shelfwise.llm.text import ALNUM, NOT_SPACE, Runs, mixed, run_hashes, slices, words
+from shelfwise.llm.text import ALNUM, NOT_SPACE, Runs, mixed, run_hashes, slices, tidied, words
 
 BITS = 18
 #: (stream, words) of each view
@@ -97,6 +97,7 @@ class Ftrl:
 def examples(rows: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(doc_id, y, features, frequencies) of each training row, made by the tasks."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column("text"), 1 << 18):
@@ -146,6 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [dot(sent.value, data, offsets) for _, _, data, offsets in slices(batch.column(text))]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
 from shelfwise.llm.stage import free_name, stage
-from shelfwise.llm.text import mixed
+from shelfwise.llm.text import mixed, tidied
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, text_hash and the 64-bit fingerprint (as a signed long) of each row's whole text; null texts are empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
@@ -174,6 +175,7 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = _flips(bits, half)[half].astype(np.int64)
     sent_schema = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())])
 
+    @tidied
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_fps = np.asarray(batch.column("fp")).view(np.uint64)

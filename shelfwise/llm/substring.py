@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.stage import free_name, stage
-from shelfwise.llm.text import Runs, Words, arrow_rows, mixed, slices, words
+from shelfwise.llm.text import Runs, Words, arrow_rows, mixed, slices, tidied, words
 
 WINDOW_WORDS = 50
 SEED_WORDS = 20
@@ -102,6 +102,7 @@ def seeds(docs: DataFrame, window: int, k: int) -> DataFrame:
     """Every anchor with the hash of its extension both ways (as far as the text goes)."""
     reach = window - k
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, found, runs, texts, _, _ in _text_rows(batch):
@@ -135,6 +136,7 @@ def extended(docs: DataFrame, wanted: DataFrame, window: int, k: int) -> DataFra
     """All windows around the wanted seeds (doc_id, text_hash, seeds: place and anchor)."""
     reach = window - k
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked, row = batch.column("seeds"), 0
@@ -251,6 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
     columns = docs.columns
     out_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -138,5 +139,22 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return Runs(found.hashes).hash(start, end), bounds
 
 
+def tidied(run):
+    """A task's function that at its end hands freed memory back to the system.
+
+    Spark keeps Python workers for later tasks; what Arrow and the C library hold on to would come on top of a later
+    stage's needs.
+    """
+
+    def and_tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return and_tidy
+
+
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
