@@ -12,13 +12,10 @@ from __future__ import annotations
 import warnings
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -323,10 +320,12 @@ def scan_k(
     restarts: int = S.RESTARTS,
     seed: int = S.SEED,
     fitted: dict[int, Fit] | None = None,
+    score: str = "exact",
 ) -> DataFrame:
     """Inertia, silhouette, Calinski-Harabasz and biggest share for k = 2 .. ``high``.
 
     ``points`` should be staged; all k are scored together, and fitted unless the fits are given.
+    ``score`` is the silhouette's, ``exact`` or ``squared``.
     """
     fitted = fitted or fit_scan(points, high, restarts, seed)
     ks, fits = list(fitted), list(fitted.values())
@@ -342,7 +341,7 @@ def scan_k(
         [(i, k, f.inertia) for i, (k, f) in enumerate(zip(ks, fits))],
         "labeling int, groups int, inertia double",
     )
-    sharp = scores.silhouette(scores.silhouette_samples(labelled))
+    sharp = scores.silhouette(scores.silhouettes(labelled, score))
     return (
         known.join(sharp, "labeling")
         .join(scores.calinski_harabasz(labelled), "labeling")
@@ -384,7 +383,7 @@ def with_resamples(
     return points.withColumn("members", F.array(*flags))
 
 
-def _mean_agreement(pairs: DataFrame) -> DataFrame:
+def mean_agreement(pairs: DataFrame) -> DataFrame:
     """Mean adjusted Rand index over samples of (sample, full, again) label rows."""
     agreement = scores.adjusted_rand(pairs, "full", "again", ["sample"])
     return agreement.agg(F.avg("ari").alias("agreement"))
@@ -418,7 +417,7 @@ def stability(
         ]
     )
     pairs = sampled.select(nearest(base).alias("full"), F.inline(again)).where("inside")
-    return _mean_agreement(pairs)
+    return mean_agreement(pairs)
 
 
 def split_biggest(
@@ -427,6 +426,7 @@ def split_biggest(
     search: tuple[int, int] = S.SPLIT_SEARCH,
     restarts: int = S.RESTARTS,
     seed: int = S.SEED,
+    score: str = "exact",
 ) -> DataFrame:
     """The largest group split again, by the number of parts with the best silhouette.
 
@@ -449,7 +449,7 @@ def split_biggest(
     fits = fit_runs(part, [Run(k, restarts, seed) for k in ks])
     labelled = stage(with_labels(part, [f.centres for f in fits]), "biggest-labels")
     ranked = (
-        scores.silhouette(scores.silhouette_samples(labelled))
+        scores.silhouette(scores.silhouettes(labelled, score))
         .orderBy(F.desc("silhouette"), "labeling")
         .limit(1)
         .collect()
@@ -465,6 +465,7 @@ def setting_sweep(
     restarts: Sequence[int] = (1, 5, 20, 50),
     seeds: Sequence[int] = (0, 42, 123),
     base: np.ndarray | None = None,
+    score: str = "exact",
 ) -> DataFrame:
     """Does anything but k matter? Inertia, silhouette and agreement with the base grouping.
 
@@ -481,7 +482,7 @@ def setting_sweep(
     for run, fit in zip(runs, fits[: len(inits) * len(seeds)]):
         settings += [(run.init, n, run.seed, *fit.best_of(n)) for n in restarts]
     labelled = stage(with_labels(points, [base, *[s[4] for s in settings]]), "sweep-labels")
-    sharp = scores.silhouette(scores.silhouette_samples(labelled))
+    sharp = scores.silhouette(scores.silhouettes(labelled, score))
     long = labelled.select(
         F.element_at("labels", 1).alias("base"),
         F.posexplode("labels").alias("labeling", "label"),
@@ -499,111 +500,6 @@ def setting_sweep(
     )
 
 
-def _mixture(k: int, seed: int, restarts: int) -> Callable[[DataFrame], DataFrame]:
-    """Best of several Gaussian mixtures by log-likelihood."""
-
-    def fit(vectors: DataFrame):
-        models = [
-            GaussianMixture(k=k, seed=seed + i, featuresCol="v", predictionCol="label").fit(vectors)
-            for i in range(restarts)
-        ]
-        return max(models, key=lambda m: m.summary.logLikelihood)
-
-    return fit
-
-
-def _bisecting(k: int, seed: int) -> Callable[[DataFrame], DataFrame]:
-    def fit(vectors: DataFrame):
-        return BisectingKMeans(k=k, seed=seed, featuresCol="v", predictionCol="label").fit(vectors)
-
-    return fit
-
-
-def _refit_stability(
-    vectors: DataFrame, fit: Callable, full: DataFrame, times: int, parallelism: int
-) -> DataFrame:
-    """Agreement of a Spark estimator's full fit with its resample fits, run side by side."""
-
-    def one(i: int) -> DataFrame:
-        inside = vectors.where(F.element_at("members", i + 1))
-        again = fit(inside).transform(inside).select(S.KEY, F.col("label").alias("again"))
-        return again.join(full, S.KEY).select(F.lit(i).alias("sample"), "full", "again")
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        tables = list(pool.map(one, range(times)))
-    pairs = tables[0]
-    for table in tables[1:]:
-        pairs = pairs.unionByName(table)
-    return _mean_agreement(pairs)
-
-
-def method_compare(
-    points: DataFrame,
-    k: int,
-    times: int = S.RESAMPLES,
-    fraction: float = S.RESAMPLE_FRACTION,
-    restarts: int = S.RESTARTS,
-    mixture_restarts: int = 5,
-    seed: int = S.SEED,
-    parallelism: int = 8,
-) -> DataFrame:
-    """K-Means, Gaussian mixture and bisecting K-Means by silhouette, stability and balance.
-
-    Bisecting K-Means stands for hierarchical clustering: it is the one Spark distributes.
-    """
-    sampled = stage(with_resamples(points, times, fraction, seed), "method-points")
-    vectors = sampled.withColumn("v", array_to_vector("x"))
-    vectors.persist()
-    try:
-        return _methods(sampled, vectors, k, times, fraction, restarts, mixture_restarts, seed, parallelism)
-    finally:
-        vectors.unpersist()
-
-
-def _methods(
-    sampled: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    times: int,
-    fraction: float,
-    restarts: int,
-    mixture_restarts: int,
-    seed: int,
-    parallelism: int,
-) -> DataFrame:
-    kmeans = fit_groups(sampled, k, restarts, seed)
-    labels = {"kmeans": kmeans.transform(sampled, "label")}
-    agreement = {"kmeans": stability(sampled, k, times, fraction, restarts, seed)}
-    estimators = {
-        "gaussian_mixture": _mixture(k, seed, mixture_restarts),
-        "hierarchical": _bisecting(k, seed),
-    }
-    for name, fit in estimators.items():
-        labels[name] = stage(fit(vectors).transform(vectors).select(S.KEY, "label"), name)
-        full = labels[name].withColumnRenamed("label", "full")
-        agreement[name] = _refit_stability(vectors, fit, full, times, parallelism)
-    rows = None
-    names = list(labels)
-    table = sampled.select(S.KEY, "x")
-    for name in names:
-        table = table.join(labels[name].withColumnRenamed("label", name), S.KEY)
-    labelled = stage(
-        table.select(S.KEY, "x", F.array(*[F.col(m).cast("int") for m in names]).alias("labels")),
-        "method-labels",
-    )
-    sharp = scores.silhouette(scores.silhouette_samples(labelled))
-    for at, name in enumerate(names):
-        balance = scores.cluster_balance(labels[name], "label")
-        row = sharp.where(F.col("labeling") == at).select(
-            F.lit(name).alias("method"),
-            "silhouette",
-            agreement[name].scalar().alias("stability"),
-            balance.scalar().alias("balance"),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return stage(rows, "methods")
-
-
 def grouping_agreement(one: DataFrame, other: DataFrame) -> DataFrame:
     """Products in both groupings and their adjusted Rand index."""
     both = one.select(S.KEY, F.col("group").alias("a")).join(

@@ -7,7 +7,7 @@ that one pass serves a whole scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,87 +16,247 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfwise import settings as S
-from shelfwise.functions.ordered import join_null_safe
+from shelfwise.functions.ordered import join_null_safe, position_by
 from shelfwise.functions.stats import ln_gamma
 from shelfwise.sources.staging import stage
 
 BLOCK = 2048
 
 
-def _block_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from every left point to every group of the right block, per labeling."""
+def _group_sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Distance sums between two blocks, for the points of either and the groups of the other that they need."""
+    alone = key[0] == key[1]
+    right = left if alone else right
+    out = [pd.DataFrame({"point": [], "code": [], "total": [], "n": []})]
     if left.empty or right.empty:
-        return pd.DataFrame({"point": [], "labeling": [], "label": [], "total": [], "n": []})
-    a, b = np.vstack(left["x"].to_numpy()), np.vstack(right["x"].to_numpy())
-    names = np.vstack(right["labels"].to_numpy())
-    out = []
+        return out[0]
+
+    def wants(points: pd.DataFrame, others: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The others' groups, who is in them, and which of them each point needs."""
+        codes = np.vstack(others["codes"].to_numpy())
+        groups, place = np.unique(codes, return_inverse=True)
+        inside = np.zeros((len(others), len(groups)))
+        inside[np.repeat(np.arange(len(others)), codes.shape[1]), place.ravel()] = 1.0
+        row = np.repeat(np.arange(len(points)), points["need"].map(len))
+        need = np.concatenate([np.asarray(n, dtype=np.int64) for n in points["need"]])
+        at = np.minimum(np.searchsorted(groups, need), len(groups) - 1)
+        held = groups[at] == need
+        wanted = np.zeros((len(points), len(groups)), dtype=bool)
+        wanted[row[held], at[held]] = True
+        return groups, inside, wanted
+
+    def add(points: pd.DataFrame, distance: np.ndarray, groups: np.ndarray, inside: np.ndarray, wanted: np.ndarray):
+        sums, sizes = distance @ inside, inside.sum(axis=0)
+        row, at = np.nonzero(wanted)
+        names = points["point"].to_numpy()[row]
+        out.append(pd.DataFrame({"point": names, "code": groups[at], "total": sums[row, at], "n": sizes[at]}))
+
+    ours = wants(left, right)
+    theirs = None if alone else wants(right, left)
+    back = theirs is not None and theirs[2].any()
+    # rows are left out only where the other side does not need them either
+    rows = np.ones(len(left), dtype=bool) if back else ours[2].any(axis=1)
+    columns = np.ones(len(right), dtype=bool) if ours[2].any() else (theirs[2].any(axis=1) if back else rows)
+    if not rows.any() or not columns.any():
+        return out[0]
+    a, b = np.vstack(left["x"].to_numpy())[rows], np.vstack(right["x"].to_numpy())[columns]
     distance = np.zeros((len(a), len(b)))
     for axis in range(a.shape[1]):
         distance += (a[:, axis, None] - b[None, :, axis]) ** 2
     np.sqrt(distance, out=distance)
-    for labeling in range(names.shape[1]):
-        groups, code = np.unique(names[:, labeling], return_inverse=True)
-        member = np.zeros((len(b), len(groups)))
-        member[np.arange(len(b)), code] = 1.0
-        sums, sizes = distance @ member, member.sum(axis=0)
-        out.append(
-            pd.DataFrame(
+    if ours[2].any():
+        add(left[rows], distance, ours[0], ours[1][columns], ours[2][rows])
+    if back:
+        add(right[columns], distance.T, theirs[0], theirs[1][rows], theirs[2][columns])
+    return pd.concat(out[1:])
+
+
+class _Groups:
+    """Size, centre and mean squared distance to the centre of every group of every labeling, by their codes."""
+
+    def __init__(self, points: DataFrame) -> None:
+        d, wide = points.select(F.size("x").alias("d"), F.size("labels").alias("l")).agg(F.max("d"), F.max("l")).first() or (0, 0)
+        self.d, self.labelings = d or 0, wide or 0
+        middle = points.agg(*[F.avg(F.col("x")[i]) for i in range(self.d)]).first() if self.d else ()
+        self.middle = np.array([v or 0.0 for v in middle])
+        names = ["n", "q", *[f"s{i}" for i in range(self.d)]]
+        schema = ", ".join(["labeling int", "label int", *[f"{n} double" for n in names]])
+        table = points.select("x", "labels").mapInPandas(self._partial(names), schema)
+        rows = table.groupBy("labeling", "label").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        rows = rows.sort_values(["labeling", "label"], ignore_index=True)
+        self.names = rows[["labeling", "label"]].to_numpy()
+        self.sizes = rows["n"].to_numpy(dtype=float)
+        shift = rows[names[2:]].to_numpy(dtype=float) / np.maximum(self.sizes, 1.0)[:, None]
+        self.centres = shift + self.middle
+        self.spread = np.maximum(rows["q"].to_numpy(dtype=float) / np.maximum(self.sizes, 1.0) - (shift**2).sum(axis=1), 0.0)
+        whole = self.names[:, 0] == 0
+        self.scale = float(np.sqrt(rows["q"].to_numpy(dtype=float)[whole].sum() / max(self.sizes[whole].sum(), 1.0)))
+
+    def _partial(self, names: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        middle, labelings = self.middle, self.labelings
+
+        def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = np.vstack(batch["x"].to_numpy()) - middle
+                labels = np.vstack(batch["labels"].to_numpy())
+                each = pd.DataFrame(np.column_stack([np.ones(len(x)), (x**2).sum(axis=1), x]), columns=names)
+                for at in range(labelings):
+                    sums = each.groupby(labels[:, at]).sum().rename_axis("label").reset_index()
+                    sums.insert(0, "labeling", at)
+                    yield sums
+
+        return add_up
+
+    def codes(self, labels: np.ndarray) -> np.ndarray:
+        """The code of every label: its place among (labeling, label) in order."""
+        out = np.empty(labels.shape, dtype=np.int64)
+        for at in range(labels.shape[1]):
+            first = int((self.names[:, 0] < at).sum())
+            known = self.names[self.names[:, 0] == at, 1]
+            out[:, at] = first + np.searchsorted(known, labels[:, at])
+        return out
+
+    def of(self, labeling: int) -> np.ndarray:
+        return np.flatnonzero(self.names[:, 0] == labeling)
+
+
+def _needs(points: DataFrame, groups: _Groups) -> DataFrame:
+    """Points with their groups' codes, the codes whose distance sums can matter, and a number that orders by groups.
+
+    The mean distance to a group lies between the distance to its centre and the root of the mean squared distance to
+    its members. A group whose lower bound is above the least upper bound of all other groups cannot be the nearest one.
+    """
+    slack = 1e-7 * groups.scale  # more than what rounding does to the bounds
+
+    def bound(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.vstack(batch["x"].to_numpy())
+            codes = groups.codes(np.vstack(batch["labels"].to_numpy()))
+            need = np.zeros((len(x), len(groups.sizes)), dtype=bool)
+            place = np.zeros(len(x))
+            for at in range(groups.labelings):
+                these = groups.of(at)
+                square = ((x[:, None] - groups.centres[these][None]) ** 2).sum(axis=2)
+                own = codes[:, at, None] == these[None]
+                most = np.where(own, np.inf, np.sqrt(square + groups.spread[these]))
+                close = own | (np.sqrt(square) <= most.min(axis=1, keepdims=True) * (1 + 1e-9) + slack)
+                # one alone in its group scores zero whatever the others are
+                need[:, these] = close & (groups.sizes[codes[:, at]] > 1)[:, None]
+                place = place + codes[:, at] / float(len(groups.sizes) + 1) ** at
+            yield pd.DataFrame(
                 {
-                    "point": np.repeat(left["point"].to_numpy(), len(groups)),
-                    "labeling": labeling,
-                    "label": np.tile(groups, len(a)),
-                    "total": sums.ravel(),
-                    "n": np.tile(sizes, len(a)),
+                    "point": batch["point"],
+                    "x": batch["x"],
+                    "codes": list(codes),
+                    "need": [np.flatnonzero(n) for n in need],
+                    "place": place,
                 }
             )
-        )
-    return pd.concat(out)
 
+    schema = "point string, x array<double>, codes array<long>, need array<long>, place double"
+    return points.select(F.col(S.KEY).alias("point"), "x", "labels").mapInPandas(bound, schema)
 
-def silhouette_samples(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Euclidean silhouette of every product under every labeling.
 
-    ``points`` holds the product, ``x`` (array of doubles) and ``labels`` (array of ints, one per
-    labeling). The exact score needs every distance, so the work is quadratic by definition; the
-    products are hashed into blocks of bounded size and each pair of blocks is one small grouped
-    task that returns sums per group, never the pairs. A product alone in its group scores zero.
+def needed_sums(points: DataFrame, groups: _Groups, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Points in blocks, and the distance sums (point, code, total, n) that their silhouettes need.
+
+    Blocks hold neighbours in the order of their groups, so most blocks hold few groups. Two blocks meet once, in one
+    grouped task, if a point of either needs a group of the other, and the task returns sums for both.
     """
-    table = points.select(F.col(S.KEY).alias("point"), "x", "labels")
-    blocks = max(1, math.ceil(table.count() / block))
-    mine = F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = table.select("point", "x", mine.alias("to_block"), every.alias("from_block"))
-    right = table.select("x", "labels", mine.alias("from_block"), every.alias("to_block"))
+    dealt = position_by(_needs(points, groups), "place", "point", "at")
+    number = F.floor((F.col("at") - 1) / block).cast("int").alias("block")
+    blocks = stage(dealt.select("point", "x", "codes", "need", number), "silhouette-blocks")
+    need = blocks.select("block", F.explode("need").alias("code")).distinct()
+    have = blocks.select(F.col("block").alias("other"), F.explode("codes").alias("code")).distinct()
+    meet = need.join(have, "code").select(
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    meet = stage(meet.distinct(), "silhouette-pairs")
+    low = blocks.withColumnRenamed("block", "low").join(meet, "low")
+    high = blocks.withColumnRenamed("block", "high").join(meet.where("low < high"), "high")
+    high = high.select(*[F.col(c).alias(c) for c in low.columns])  # columns of its own
     sums = (
-        left.groupBy("to_block", "from_block")
-        .cogroup(right.groupBy("to_block", "from_block"))
-        .applyInPandas(
-            _block_sums, "point string, labeling int, label int, total double, n double"
-        )
-        .groupBy("point", "labeling", "label")
+        low.groupBy("low", "high")
+        .cogroup(high.groupBy("low", "high"))
+        .applyInPandas(_group_sums, "point string, code long, total double, n double")
+        .groupBy("point", "code")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     )
-    own = table.select("point", F.posexplode("labels").alias("labeling", "own"))
-    mean_other = F.when(F.col("label") != F.col("own"), F.col("total") / F.col("n"))
-    mean_own = F.when(
-        (F.col("label") == F.col("own")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)
-    )
-    near = (
-        sums.join(own, ["point", "labeling"])
-        .groupBy("point", "labeling")
-        .agg(F.max("own").alias("label"), F.max(mean_own).alias("a"), F.min(mean_other).alias("b"))
+    return blocks, sums
+
+
+def silhouette_samples(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Euclidean silhouette of every product under every labeling.
+
+    ``points`` holds the product, ``x`` (array of doubles) and ``labels`` (array of ints, one per labeling). Own groups
+    are summed exactly, other groups only where bounds leave them a chance of being nearest; what remains is quadratic
+    in the size of a group and its rivals. Groups, a few per labeling, pass through the driver with their sums. A
+    product alone in its group scores zero, and so does one without any other group.
+    """
+    groups = _Groups(points)
+    blocks, sums = needed_sums(points, groups, block)
+    names = [(i, int(a), int(b)) for i, (a, b) in enumerate(groups.names)]
+    known = points.sparkSession.createDataFrame(names, "code long, labeling int, label int")
+    own = blocks.select("point", F.explode("codes").alias("code")).join(known, "code")
+    other = known.select(F.col("code").alias("to_code"), "labeling")
+    near = sums.withColumnRenamed("code", "to_code").join(other, "to_code")
+    same = F.col("to_code") == F.col("code")
+    mean_other = F.when(~same, F.col("total") / F.col("n"))
+    mean_own = F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))
+    found = (
+        own.join(near, ["point", "labeling"], "left")
+        .groupBy("point", "labeling", "label")
+        .agg(F.max(mean_own).alias("a"), F.min(mean_other).alias("b"))
     )
     score = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return near.select(
+    return found.select(
         F.col("point").alias(S.KEY),
         "labeling",
         "label",
-        F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(score, F.lit(0.0))).alias(
-            "silhouette"
-        ),
+        F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(score, F.lit(0.0))).alias("silhouette"),
     )
 
 
+def silhouette_sq_samples(points: DataFrame) -> DataFrame:
+    """Silhouettes on squared distances, every labeling in one pass over the points, linear in their number.
+
+    The mean squared distance to a group follows from its centre and spread. Same columns as `silhouette_samples`.
+    """
+    groups = _Groups(points)
+
+    def work_out(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.vstack(batch["x"].to_numpy())
+            labels = np.vstack(batch["labels"].to_numpy())
+            codes = groups.codes(labels)
+            for at in range(groups.labelings):
+                these, size = groups.of(at), groups.sizes[codes[:, at]]
+                mean = ((x[:, None] - groups.centres[these][None]) ** 2).sum(axis=2) + groups.spread[these]
+                own = codes[:, at, None] == these[None]
+                a = np.where(own, mean, 0.0).sum(axis=1) * size / np.maximum(size - 1, 1.0)
+                b = np.where(own, np.inf, mean).min(axis=1)
+                most = np.maximum(a, b)
+                good = (size > 1) & np.isfinite(b) & (most > 0)
+                value = np.where(good, np.where(good, b - a, 0.0) / np.where(good, most, 1.0), 0.0)
+                yield pd.DataFrame({S.KEY: batch[S.KEY], "labeling": at, "label": labels[:, at], "silhouette": value})
+
+    schema = f"{S.KEY} string, labeling int, label int, silhouette double"
+    return points.select(S.KEY, "x", "labels").mapInPandas(work_out, schema)
+
+
+def silhouettes(points: DataFrame, score: str = "exact") -> DataFrame:
+    """`silhouette_samples` for the score ``exact``, `silhouette_sq_samples` for ``squared``."""
+    if score not in ("exact", "squared"):
+        raise ValueError(f"score is exact or squared, not {score}")
+    return silhouette_samples(points) if score == "exact" else silhouette_sq_samples(points)
+
+
 def silhouette(samples: DataFrame) -> DataFrame:
     """Mean silhouette and share of negative ones per labeling."""
     return samples.groupBy("labeling").agg(

@@ -42,10 +42,12 @@ def run(
     resamples: int = S.RESAMPLES,
     publish_bar: float = S.PUBLISH_BAR,
     top_n: int = S.TOP_N,
+    score: str = "exact",
 ) -> RunResult:
     """Clean, describe, group, check, link, and publish if the groups hold up.
 
     The clean panel, the features and the prepared points are staged: each feeds several branches.
+    ``score`` is the silhouette that k and the split are chosen by: ``exact``, or ``squared``, which is linear.
     """
     panel, aside = clean.clean_and_set_aside(raw, price_floor, min_weeks)
     sales = stage(panel, "clean-panel")
@@ -56,7 +58,7 @@ def run(
     points = stage(preparation.transform(table), "points")
 
     fitted = cluster.fit_scan(points, search[1], restarts)
-    scan = stage(cluster.scan_k(points, fitted=fitted), "scan")
+    scan = stage(cluster.scan_k(points, fitted=fitted, score=score), "scan")
     k = scores.choose_k(scan, *search).first()["groups"]
     grouping = cluster.Grouping(cluster.canonical_order(points, fitted[k].centres), fitted[k].inertia)
     labelled = stage(table.join(grouping.transform(points), S.KEY), "labelled")
@@ -64,7 +66,7 @@ def run(
     names = stage(rules.name_groups(profile), "names")
     groups = labelled.join(names, "group")
     suggestions = stage(rules.suggest_actions(labelled, names), "suggestions")
-    split = cluster.split_biggest(points, labelled.select(S.KEY, "group"), restarts=restarts)
+    split = cluster.split_biggest(points, labelled.select(S.KEY, "group"), restarts=restarts, score=score)
 
     agreement = cluster.stability(points, k, resamples, restarts=restarts, base=grouping.centres)
     gate = stage(rules.publish_gate(agreement, suggestions, publish_bar), "gate")

@@ -19,6 +19,7 @@ from shelfwise.operators import (
     cluster,
     features,
     links,
+    methods,
     prepare,
     reports,
     rules,
@@ -795,7 +796,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("method_compare")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.method_compare(_points(spark, sf), K, times=3, mixture_restarts=1)
+    return methods.method_compare(_points(spark, sf), K)
 
 
 @query("setting_sweep")

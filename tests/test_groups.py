@@ -5,7 +5,7 @@ from panels import shaped
 from pyspark.sql import functions as F
 
 from shelfwise import settings as S
-from shelfwise.operators import cluster, features, prepare, rules, scores
+from shelfwise.operators import cluster, features, methods, mixtures, prepare, rules, scores
 from shelfwise.plans import pipeline
 from shelfwise.sources.publish import load_previous_groups, load_published
 from shelfwise.sources.staging import stage
@@ -85,6 +85,100 @@ def test_silhouette_in_blocks_equals_numpy(spark):
         assert got[f"p{i}"] == pytest.approx(want, abs=1e-12)
 
 
+def _numpy_silhouette(x, label, square=False):
+    distance = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    distance = distance if square else np.sqrt(distance)
+    out = []
+    for i in range(len(x)):
+        mine = label == label[i]
+        others = [distance[i, label == o].mean() for o in set(label) - {label[i]}]
+        if mine.sum() == 1 or not others:
+            out.append(0.0)
+            continue
+        a, b = distance[i, mine].sum() / (mine.sum() - 1), min(others)
+        out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    return np.array(out)
+
+
+def test_silhouettes_of_several_labelings_leave_out_far_groups(spark):
+    rng = np.random.default_rng(8)
+    places = rng.normal(size=(6, 2)) * 40
+    kind = np.repeat(np.arange(6), 40)
+    x = places[kind] + rng.normal(size=(240, 2))
+    x[5] = x[6]  # a repeated point
+    labelings = [kind, kind // 2, rng.integers(0, 3, 240), np.zeros(240, dtype=int), np.where(np.arange(240) == 7, 9, kind)]
+    labels = np.stack(labelings, axis=1)
+    rows = [(f"p{i}", x[i].tolist(), labels[i].tolist()) for i in range(240)]
+    points = spark.createDataFrame(rows, "rgm_ppg string, x array<double>, labels array<int>").repartition(3)
+    for square, samples in ((False, scores.silhouette_samples(points, block=32)), (True, scores.silhouettes(points, "squared"))):
+        got = samples.toPandas().set_index(["labeling", "rgm_ppg"]).sort_index()
+        for at, label in enumerate(labelings):
+            mine = got.loc[at].loc[[f"p{i}" for i in range(240)]]
+            assert mine.label.tolist() == label.tolist()
+            assert mine.silhouette.to_numpy() == pytest.approx(_numpy_silhouette(x, label, square), abs=1e-9)
+    one = points.withColumn("labels", F.slice("labels", 1, 1))
+    _, sums = scores.needed_sums(one, scores._Groups(one), block=32)
+    assert 240 * 2 <= sums.count() < 240 * 4  # of 240 * 6
+    with pytest.raises(ValueError, match="exact or squared"):
+        scores.silhouettes(points, "other")
+    assert scores.silhouette_samples(points.limit(0)).count() == 0
+
+
+def _numpy_mixture(x, centres, steps):
+    k, d = centres.shape
+    near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    share = (near[:, None] == np.arange(k)).astype(float)
+    bound = -np.inf
+    for _ in range(steps):
+        size = share.sum(axis=0) + 10 * np.finfo(float).eps
+        mean = share.T @ x / size[:, None]
+        joint = np.empty((len(x), k))
+        for c in range(k):
+            gap = x - mean[c]
+            spread = (share[:, c, None] * gap).T @ gap / size[c] + 1e-6 * np.eye(d)
+            _, height = np.linalg.slogdet(2 * np.pi * spread)
+            apart = (gap @ np.linalg.inv(spread) * gap).sum(axis=1)
+            joint[:, c] = np.log(size[c] / size.sum()) - 0.5 * (height + apart)
+        total = np.logaddexp.reduce(joint, axis=1)
+        if abs(total.mean() - bound) < 1e-3:
+            # the library takes one more step of the parameters before it stops
+            steps = 0
+        bound, share = total.mean(), np.exp(joint - total[:, None])
+        if not steps:
+            size = share.sum(axis=0)
+            return share.T @ x / size[:, None], size / size.sum()
+    raise AssertionError("does not settle")
+
+
+def test_mixtures_equal_numpy_from_the_same_starts(spark):
+    rng = np.random.default_rng(21)
+    wide = np.array([[3.0, 1.0], [1.0, 0.5]])
+    x = np.concatenate([rng.normal(size=(150, 2)), [6.0, 0.0] + rng.normal(size=(90, 2)) @ wide, [0.0, 9.0] + rng.normal(size=(60, 2))])
+    inside = rng.random(300) < 0.8
+    rows = [(f"p{i}", v.tolist(), [bool(inside[i]), True]) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "rgm_ppg string, x array<double>, members array<boolean>")
+    starts = [x[[0, 160, 250]], x[[3, 200, 299]]]
+    fits = mixtures.fit_mixtures(points.repartition(4), [(starts[0], None), (starts[1], 1), (starts[0], 0)])
+    for fit, data, start in zip(fits, (x, x, x[inside]), (starts[0], starts[1], starts[0])):
+        means, weights = _numpy_mixture(data, start, 100)
+        assert fit.converged and fit.means == pytest.approx(means, abs=1e-6) and fit.weights == pytest.approx(weights, abs=1e-8)
+    assert (fits[0].label(x)[:150] == 0).mean() > 0.95
+    twice = np.array([[0.0, 0.0]] * 3 + [[5.0, 5.0]] * 3)  # equal points, and a component without any
+    few = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(twice)], "rgm_ppg string, x array<double>")
+    (fit,) = mixtures.fit_mixtures(few, [(np.array([[0.0, 0.0], [5.0, 5.0], [90.0, 90.0]]), None)])
+    assert np.isfinite(fit.likelihood) and fit.label(twice).tolist() == [0, 0, 0, 1, 1, 1]
+    with pytest.warns(UserWarning, match="still move"):
+        mixtures.fit_mixtures(points, [(starts[0], None)], max_steps=1)
+
+
+def test_methods_side_by_side(prepared):
+    _, points = prepared
+    table = methods.method_compare(points, 3, times=4, restarts=4, mixture_restarts=2).toPandas().set_index("method")
+    assert sorted(table.index) == ["gaussian_mixture", "hierarchical", "kmeans"]
+    assert table.loc["kmeans", "stability"] > 0.5 and table.loc["hierarchical", "silhouette"] > 0.2
+    assert ((table.balance > 0) & (table.balance <= 1 + 1e-12)).all() and (table.stability <= 1 + 1e-12).all()
+
+
 def test_any_partitioning_fits_alike(prepared):
     _, points = prepared
     (one,) = cluster.fit_runs(points, [cluster.Run(3, 4)])
