@@ -1,13 +1,14 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks. Each block is read as a vector of its tag path (tags and the words of
-class, id and role), a vector of its hashed words, and a few measures. A bidirectional LSTM in numpy runs over the whole
-page and labels every block as article or not, so what stands before and behind a block counts.
+class, id and role), a vector of its hashed words, and a few measures. A part of the path is read by what stands around
+it: whether an article begins further out, and whether its element holds most of the page. A bidirectional LSTM in numpy
+runs over the whole page and labels every block as article or not, so what stands before and behind a block counts.
 
 There are no labelled pages. The network learns from a bounded sample of the given ones, labelled by what their markup
 says (article, nav, footer, ...), and from variants of them in which containers bear other usual names and notices,
-sidebars, forms, adverts and reader comments made of the pages' own texts are put in, or all is nested deep in containers
-that only lay the page out.
+sidebars, forms, adverts and reader comments made of the pages' own texts are put in, wrappers with telling names hold the
+whole page, headings have headers of their own, or all is nested deep in containers that only lay the page out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from shelfwise.llm.text import ALNUM, slices, words
 MAX_TRAINING_PAGES = 600
 #: leaves of a page that one training sequence shows; labelling always reads the whole page
 TRAINING_LEAVES = 160
-TAGS, WORDS = 1 << 10, 1 << 12
-TAG_SIZE, WORD_SIZE, HIDDEN, MEASURES = 16, 6, 16, 6
+TAGS, WORDS = 1 << 12, 1 << 12
+TAG_SIZE, WORD_SIZE, HIDDEN, MEASURES = 32, 6, 16, 6
 
 # HTML's elements that do not start a block, have no end tag, or hold no text to read.
 INLINE = frozenset(
@@ -37,12 +38,21 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg math iframe object textarea select title".split())
+RAW = frozenset("script style template noscript iframe textarea select title".split())
+#: void elements that end a block; the others stand within one
+BREAKS = frozenset("base col hr input".split())
+#: in formulas and drawings elements are inline, these are not shown, and HTML's own blocks end an unclosed one
+FOREIGN = frozenset("math svg".split())
+UNSHOWN = frozenset("annotation annotation-xml desc metadata".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "head header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
+)
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _SCOPE = {"p": (), "li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|[^<]+|<", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*)>?|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S*)))?""")
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -51,14 +61,16 @@ class Leaf:
     path: tuple[str, ...]  #: tags and name parts from the root down
     text: str
     linked: float  #: share of the text inside links
+    told: tuple[str, ...] | None = None  #: the path's parts with what stands around them
 
 
 def _names(attributes: str) -> list[str]:
     if "=" not in attributes:
         return []
     out = []
-    for m in _NAMED.finditer(attributes):
-        out += [f".{x}" for x in _PART.findall((m[1] or m[2] or m[3] or "").lower())]
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            out += [f".{x}" for x in _PART.findall((m[2] or m[3] or m[4] or "").lower())]
     return out
 
 
@@ -68,6 +80,14 @@ def leaves(page: str) -> list[Leaf]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     in_link, linked, size = False, 0, 0
+    foreign = ""
+    unclosed: set[str] = set()  # elements without an end tag from here on
+
+    def ends(name: str, at: int) -> re.Match | None:
+        stop = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        if stop is None:
+            unclosed.add(name)
+        return stop
 
     def close() -> None:
         nonlocal linked, size
@@ -94,13 +114,27 @@ def leaves(page: str) -> list[Leaf]:
                 pass
             continue
         tag, ending = tag.lower(), bool(m[1])
-        if tag in RAW and not ending:
+        if (tag in RAW or (foreign and tag in UNSHOWN)) and not ending:
             if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
-            if tag in ("textarea", "select", "iframe", "object"):
+                if stop := ends(tag, at):
+                    at = stop.end()
+                else:  # as far as the element around it
+                    stop = ends(stack[-1][0], at) if stack else None
+                    at = stop.start() if stop else end
+            if tag in ("textarea", "select", "iframe"):
                 close()
             continue
+        if tag in FOREIGN:
+            foreign = "" if ending or m[3].endswith("/") else tag
+            held.append(" " if tag == "svg" else "")
+            continue
+        if foreign and tag not in BLOCKS:
+            if tag == "text":
+                held.append(" ")
+            continue
+        foreign = ""
+        if tag == "object" or (tag in VOID and tag not in BREAKS and tag not in INLINE):
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = not ending
@@ -138,53 +172,144 @@ BESIDE = frozenset(
 )
 BESIDE_TAGS = frozenset("nav footer aside form header menu dialog head button".split())
 WITHIN = frozenset("article main .article .content .post .entry .story .body .main".split())
+HEADERS = frozenset("header .header .masthead".split())
+HEADED = frozenset(".article .entry .post .story".split())
+#: before a name, these say that something else on the page is so named
+OF_OTHERS = frozenset(".has .with .no .without".split())
+LANDMARKS = frozenset("h1 main nav footer".split())
+
+
+def _elements(path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The path cut into its elements, each a tag and its name parts."""
+    starts = [i for i, x in enumerate(path) if not i or x[0] != "."]
+    return [path[a:b] for a, b in zip(starts, [*starts[1:], len(path)])]
+
+
+def outline(page: list[Leaf]) -> list[list[tuple[tuple[str, ...], bool]]]:
+    """Every leaf's elements from the root down, and whether each wraps the page: holds half of its text or more, and its
+    main heading, main part, menu or footer. Elements of equal paths count as one."""
+    sizes: dict[tuple[str, ...], int] = {}
+    for leaf in page:
+        sizes[leaf.path] = sizes.get(leaf.path, 0) + len(leaf.text)
+    nodes: dict[tuple, int] = {}
+    held: list[int] = []
+    marked: list[bool] = []
+    routes: dict[tuple[str, ...], list[tuple[tuple[str, ...], int]]] = {}
+    for path, size in sizes.items():
+        route, at = [], -1
+        for element in _elements(path):
+            at = nodes.setdefault((at, element), len(nodes))
+            if at == len(held):
+                held.append(0)
+                marked.append(False)
+            held[at] += size
+            route.append((element, at))
+        inner = False
+        for element, at in reversed(route):
+            marked[at] |= inner
+            inner = inner or element[0] in LANDMARKS
+        routes[path] = route
+    half = sum(sizes.values()) / 2
+    made = {path: [(e, marked[at] and held[at] >= half) for e, at in route] for path, route in routes.items()}
+    return [made[leaf.path] for leaf in page]
+
+
+def _label(route: list[tuple[tuple[str, ...], bool]]) -> int:
+    inside, last = False, route[-1][0][0] if route else ""
+    for (tag, *names), wraps in route:
+        if tag in ("html", "body"):
+            continue
+        own = [x for x, before in zip(names, ["", *names]) if before not in OF_OTHERS]
+        beside = [x for x in (tag, *own) if x in BESIDE or x in BESIDE_TAGS]
+        if beside and not (wraps and (tag == "form" or tag not in BESIDE_TAGS)):
+            headed = inside or any(x in HEADED for x in own)
+            if not (headed and last in ("h1", "h2") and HEADERS.issuperset(beside)):
+                return 0
+            inside = True
+        elif tag in WITHIN or any(x in WITHIN for x in own):
+            inside = True
+    return int(inside or last in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre"))
+
+
+def named(page: list[Leaf]) -> list[int]:
+    """What the markup says of the leaves: 1 in the article, 0 beside it. Any container with the name of something beside
+    the article decides, be it within the article or around one (reader comments as articles), but for the names of html,
+    body and of wrappers of the page, and for the main headings in a header of the article. Where no container tells,
+    paragraphs and headings count as article."""
+    return [_label(route) for route in outline(page)]
+
+
+def told(page: list[Leaf]) -> list[Leaf]:
+    """The leaves with the parts of their paths as the network reads them: marked if the element wraps the page or is html
+    or body, and if an article begins further out; and the innermost element once more."""
+    if page and page[0].told is not None:
+        return page
+    made: dict[tuple[str, ...], tuple[str, ...]] = {}
+    for leaf, route in zip(page, outline(page)):
+        if leaf.path in made:
+            continue
+        parts, inside = [], False
+        for element, wraps in route:
+            outer = element[0] in ("html", "body")
+            sign = ("~" if wraps or outer else "") + ("/" if inside else "")
+            parts += [
+                ("?" if before in OF_OTHERS else "") + sign + x for x, before in zip(element, ["", *element])
+            ]
+            inside = inside or (not outer and any(x in WITHIN for x in element))
+        if route:
+            parts.append("^" + route[-1][0][0])
+        made[leaf.path] = tuple(dict.fromkeys(parts))
+    return [replace(leaf, told=made[leaf.path]) for leaf in page]
 
 
-def named(path: tuple[str, ...]) -> int:
-    """What the markup says of a leaf: 1 in the article, 0 beside it. The innermost container with a telling name decides;
-    without one, paragraphs and headings count as article."""
-    for x in reversed(path):
-        if x in BESIDE or x in BESIDE_TAGS:
-            return 0
-        if x in WITHIN:
-            return 1
-    return int(bool(path) and path[-1] in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre"))
-
+#: what stands beside telling names in one class
+NEUTRAL = (".bar", ".block", ".body", ".box", ".content", ".inner", ".item", ".left", ".list", ".main", ".page", ".post", ".right", ".text", ".top", ".wrapper")
+COMMENTS = (".comment", ".comments", ".disqus", ".replies")
 
 # Usual parts of containers that only lay a page out.
 LAYOUT = ("div", ".container", ".row", ".col", ".md", ".sm", ".4", ".6", ".12", ".wrap", ".inner", ".outer", ".grid", ".flex", ".list", ".unstyled", ".item", ".group", ".block", "section", "ul", "li")
 
 
 def _nested(path: tuple[str, ...], rng: np.random.Generator) -> tuple[str, ...]:
-    """The path with up to 40 parts of layout between its outer parts and its last element."""
-    at = int(rng.integers(min(2, len(path)), len(path))) if path else 0
+    """The path with up to 40 parts of layout, from an element on, between its outer elements and its last one."""
+    starts = [i for i, x in enumerate(path) if x[0] != "."]
+    at = starts[int(rng.integers(min(2, len(starts) - 1), len(starts)))] if starts else 0
     number = int(rng.integers(1, 41))
-    return (*path[:at], *(LAYOUT[i] for i in rng.integers(len(LAYOUT), size=number)), *path[at:])
+    return (*path[:at], "div", *(LAYOUT[i] for i in rng.integers(len(LAYOUT), size=number)), *path[at:])
 
 
 def _variant(page: list[Leaf], texts: list[str], rng: np.random.Generator) -> tuple[list[Leaf], np.ndarray]:
     """The page with containers of other names, and with blocks beside the article put in; and its labels."""
-    y = [named(l.path) for l in page]
-    holder = [("main",), ("div", ".content"), ("div", ".post", ".body"), ("section", ".entry", ".content"), ("div", ".article"), ("article",), ("main", "article"), ("div", ".story")]
+    y = named(page)
+    holder = [("main",), ("div", ".content"), ("div", ".post", ".body"), ("section", ".entry", ".content"), ("div", ".article"), ("article",), ("main", "article"), ("div", ".story"), (), ("div",)]
     chosen = holder[rng.integers(len(holder))]
     forms = [("h2",), ("ul", "li"), ("ol", "li"), ("div",), ("div", "p"), ("blockquote", "p"), ("pre",), ("table", "tr", "td"), ("section", "p"), ("figure", "figcaption")]
+    headed = [(), (), ("header",), ("header", ".entry", ".header"), ("div", ".post", ".header")][rng.integers(5 if any(x in WITHIN for x in chosen) else 2)]
     out: list[Leaf] = []
     for leaf, label in zip(page, y):
         path: list[str] = []
         for x in leaf.path:
             path += chosen if x == "article" else (x,)
-        if label and path[-1] == "p" and rng.random() < 0.25:  # articles hold other elements too
+        if label and path[-1] == "p" and chosen and rng.random() < 0.25:  # articles hold other elements too
             path[-1:] = forms[rng.integers(len(forms))]
+        if label and path[-1] in ("h1", "h2") and headed:
+            path[-1:-1] = headed
         out.append(Leaf(tuple(path), leaf.text, leaf.linked))
     beside = sorted(BESIDE)
-    for _ in range(int(rng.integers(1, 6))):
-        kind = rng.integers(5)
+    for _ in range(int(rng.integers(1, 8))):
+        kind = (0, 1, 2, 3, 3, 3, 4, 4, 5)[rng.integers(9)]
         name = beside[rng.integers(len(beside))]
-        outer = {0: ("aside",), 1: ("form",), 2: ("header",), 3: ("div", name), 4: ("section", name)}[int(kind)]
+        outer = {0: ("aside",), 1: ("form",), 2: ("header",), 3: ("div", name), 4: ("section", name), 5: (("div", "section", "ol")[rng.integers(3)], COMMENTS[rng.integers(len(COMMENTS))])}[kind]
         outer = outer + ((beside[rng.integers(len(beside))],) if rng.random() < 0.3 else ())
+        if kind in (3, 4) and rng.random() < 0.4:
+            outer = outer + (NEUTRAL[rng.integers(len(NEUTRAL))],)
+        if kind == 5:
+            outer = outer + [(), (), ("article",), ("li", "article"), ("div", "article", ".comment"), ("li", "div", ".post")][rng.integers(6)]
         inner = [("p",), ("ul", "li"), ("div",), (), ("h3",), ("div", "p")][rng.integers(6)]
         at = int(rng.integers(len(out) + 1))
         inside = rng.random() < 0.5 and 0 < at < len(out) and y[at - 1] == 1
+        if not inside and rng.random() < 0.2:
+            inner = (("h1",), ("h2",))[rng.integers(2)]
         base = ("html", "body") + (chosen if inside else ())
         for _ in range(int(rng.integers(1, 4))):
             text = texts[rng.integers(len(texts))]
@@ -194,7 +319,15 @@ def _variant(page: list[Leaf], texts: list[str], rng: np.random.Generator) -> tu
             y.insert(at, 0)
     if rng.random() < 0.75:  # a page of many nested containers
         out = [Leaf(_nested(l.path, rng), l.text, l.linked) for l in out]
-    return out, np.array(y)
+    wrapper: tuple[str, ...] = ()
+    if rng.random() < 0.3:  # names of the whole page
+        wrapper = tuple(beside[i] if rng.random() < 0.5 else ".page" for i in rng.integers(len(beside), size=3))
+    if rng.random() < 0.4:
+        names = tuple(x for i in rng.integers(len(beside), size=2) for x in ((".has",) if rng.random() < 0.3 else ()) + (beside[i],))
+        wrapper += [("form",), ("form", ".page", ".form"), ("div", *names), ("section", *names), ("div", ".content", *names)][rng.integers(5)]
+    if wrapper:
+        out = [Leaf((*l.path[:2], *wrapper, *l.path[2:]), l.text, l.linked) if l.path[:2] == ("html", "body") else l for l in out]
+    return told(out), np.array(y)
 
 
 @dataclass
@@ -214,13 +347,13 @@ def _tags(path: tuple[str, ...]) -> np.ndarray:
     if (made := _tag_rows.get(path)) is None:
         if len(_tag_rows) > 20_000:
             _tag_rows.clear()
-        made = _tag_rows[path] = np.array([zlib.crc32(x.encode()) % TAGS for x in dict.fromkeys(path)] or [0])
+        made = _tag_rows[path] = np.array([zlib.crc32(x.encode()) % TAGS for x in path] or [0])
     return made
 
 
 def encode(pages: list[list[Leaf]]) -> Batch:
-    flat = [l for p in pages for l in p]
-    tags = [_tags(l.path) for l in flat]
+    flat = [l for p in pages for l in told(p)]
+    tags = [_tags(l.told) for l in flat]
     tag_bounds = np.concatenate([[0], np.cumsum([len(t) for t in tags])]).astype(np.int64)
     word_rows, counts = [], []
     for _, _, data, offsets in slices(pa.array([l.text for l in flat], pa.large_string())):
@@ -248,20 +381,31 @@ def encode(pages: list[list[Leaf]]) -> Batch:
     )
 
 
-def _shares(name: str, number: np.ndarray) -> np.ndarray:
-    """By what the sum of so many rows is divided; a tag of a long path keeps more weight than in a mean."""
-    return np.maximum(2 * np.sqrt(number) if name == "tag" else number, 1).astype(np.float32)[:, None]
-
-
-def _summed_rows(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray], name: str) -> np.ndarray:
+def _summed_rows(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The mean of every leaf's rows."""
     at, bounds = rows
     out = np.zeros((len(bounds) - 1, table.shape[1]), dtype=np.float32)
     filled = np.flatnonzero(np.diff(bounds))
     if len(filled):
-        out[filled] = np.add.reduceat(table[at], bounds[filled], axis=0) / _shares(name, np.diff(bounds)[filled])
+        out[filled] = np.add.reduceat(table[at], bounds[filled], axis=0) / np.diff(bounds)[filled, None]
     return out
 
 
+#: of a path's vector, the first part is a sum of its rows over this, the rest the greatest values of them
+SUMMED, DIVISOR = TAG_SIZE // 2, 4
+
+
+def _path_rows(table: np.ndarray, rows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Every leaf's path: sums, in which its parts add up, and greatest values, in which a telling part counts alike in
+    short and long paths."""
+    at, bounds = rows
+    if len(bounds) < 2:
+        return np.zeros((0, table.shape[1]), np.float32)
+    shown = table[at]
+    added = np.add.reduceat(shown[:, :SUMMED], bounds[:-1], axis=0) / np.float32(DIVISOR)
+    return np.concatenate([added, np.maximum.reduceat(shown[:, SUMMED:], bounds[:-1], axis=0)], axis=1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -286,7 +430,8 @@ class Labeller:
         return Labeller({k: v.astype(np.float32) for k, v in w.items()})
 
     def _inputs(self, batch: Batch) -> np.ndarray:
-        return np.concatenate([_summed_rows(self.weights["tag"], batch.tags, "tag"), _summed_rows(self.weights["word"], batch.words, "word"), batch.measures], axis=1)
+        tags, words_ = _path_rows(self.weights["tag"], batch.tags), _summed_rows(self.weights["word"], batch.words)
+        return np.concatenate([tags, words_, batch.measures], axis=1)
 
     def _run(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """x: steps, pages, inputs. The states of every step."""
@@ -364,14 +509,20 @@ class Labeller:
             d_out = np.where(real[:, :, None], d_joined[:, n * HIDDEN : (n + 1) * HIDDEN][grid], 0).astype(np.float32)
             d_xs = self._back(xs, side, kept, d_out, grads)
             dx[grid[real]] += d_xs[real]
-        for name, rows, a, b in (("tag", batch.tags, 0, TAG_SIZE), ("word", batch.words, TAG_SIZE, TAG_SIZE + WORD_SIZE)):
-            number = np.diff(rows[1])
-            grads[name] = np.zeros_like(self.weights[name])
-            np.add.at(grads[name], rows[0], np.repeat(dx[:, a:b] / _shares(name, number), number, axis=0))
+        (at, bounds), table = batch.tags, self.weights["tag"]
+        d_tags = np.repeat(dx[:, :TAG_SIZE], np.diff(bounds), axis=0)
+        d_tags[:, :SUMMED] /= DIVISOR
+        d_tags[:, SUMMED:] *= table[at, SUMMED:] == np.repeat(x[:, SUMMED:TAG_SIZE], np.diff(bounds), axis=0)
+        grads["tag"] = np.zeros_like(table)
+        np.add.at(grads["tag"], at, d_tags)
+        number = np.diff(batch.words[1])
+        d_words = dx[:, TAG_SIZE : TAG_SIZE + WORD_SIZE] / np.maximum(number, 1)[:, None].astype(np.float32)
+        grads["word"] = np.zeros_like(self.weights["word"])
+        np.add.at(grads["word"], batch.words[0], np.repeat(d_words, number, axis=0))
         return grads
 
 
-def train(pages: list[list[Leaf]], shown_pages: int = 16_000, size: int = 24, rate: float = 1.5e-2) -> Labeller:
+def train(pages: list[list[Leaf]], shown_pages: int = 20_000, size: int = 24, rate: float = 1.5e-2) -> Labeller:
     """Fit on leaf sequences, labelled by their markup, with a fresh variant of every page in every pass.
 
     There are as many passes as show ``shown_pages`` pages and variants in all, so few pages are seen more often.
@@ -381,13 +532,15 @@ def train(pages: list[list[Leaf]], shown_pages: int = 16_000, size: int = 24, ra
     if not pages:
         return net
     rng = np.random.default_rng(17)
-    texts = [l.text[:400] for p in pages[:200] for l in p[:40]]
+    pages = [told(p) for p in pages]
+    labels = [np.array(named(p)) for p in pages]
+    texts = [l.text for p in pages for l in p]
     first = {n: np.zeros_like(a) for n, a in net.weights.items()}
     second = {n: np.zeros_like(a) for n, a in net.weights.items()}
     epochs = -(-shown_pages // (2 * len(pages)))
     step, total = 0, epochs * -(-2 * len(pages) // size)
     for _ in range(epochs):
-        shown = [(p, np.array([named(l.path) for l in p])) for p in pages] + [_variant(p, texts, rng) for p in pages]
+        shown = [*zip(pages, labels), *(_variant(p, texts, rng) for p in pages)]
         order = rng.permutation(len(shown))
         for a in range(0, len(order), size):
             chosen = []

@@ -388,6 +388,61 @@ def test_blocks_beside_the_article_go(spark):
     assert html.op1(spark.createDataFrame([], schema)).count() == 0
 
 
+def _paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+#: page layouts by name: a template over the article's paragraphs and those beside it, and the article's other blocks
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav>", "<footer><p>Copyright us</p></footer>"
+LAYOUTS = {
+    "names of the body": ("<body class='post page has-sidebar with-comments'>{nav}<article><h1>Top</h1>{p}</article><aside>{s}</aside>{foot}", ["Top"], []),
+    "form around all": ("<body><form id='aspnetForm'>{nav}<article><h1>Top</h1>{p}</article>{foot}</form>", ["Top"], []),
+    "comments as articles": ("<body>{nav}<article><h1>Top</h1>{p}</article><ol class='comments'><li><article>{s}</article></ol>{foot}", ["Top"], []),
+    "comments in the article": ("<body>{nav}<article><h1>Top</h1>{p}<div class='comments'>{s}</div></article>{foot}", ["Top"], []),
+    "header in the article": ("<body>{nav}<article><header class='entry-header'><h1>Top</h1></header>{p}</article>{foot}", ["Top"], []),
+    "header of the site": ("<body><header><h1>Site name</h1>{s}</header>{nav}<main><h1>Top</h1>{p}</main>{foot}", ["Top"], []),
+    "unquoted attributes": ("<body>{nav}<article><p>one <a title=don't href=a/b>two</a> three</p>{p}<p>it's four</p></article>{foot}", ["one two three"], ["it's four"]),
+    "bare paragraphs": ("<body>{nav}<div>{p}</div>{foot}", [], []),
+    "content of the sidebar": ("<body>{nav}<div class='content'><h1>Top</h1>{p}</div><div class='sidebar-content'>{s}</div>{foot}", ["Top"], []),
+    "formulas and drawings": (
+        "<body>{nav}<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>See <object data=a><param name=b>a "
+        "fallback</object> here</p><p>A <svg><title>no</title><text>label</text></svg> drawn</p><svg><path d=1>{p}</article>{foot}",
+        ["So x=1 holds", "See a fallback here", "A label drawn"],
+        [],
+    ),
+    "unclosed script": ("<body>{nav}<div><script>var x=1;</div><article><h1>Top</h1>{p}</article>{foot}", ["Top"], []),
+}
+
+
+def test_other_layouts(spark):
+    net = html.model(spark.read.parquet(f"{SF}/pages.parquet"))
+    rng = random.Random(31)
+    for name, (layout, before, after) in LAYOUTS.items():
+        inside, beside = ([prose(rng, 20).capitalize() + "." for _ in range(n)] for n in (4, 3))
+        page = html.leaves("<html>" + layout.format(nav=NAV, foot=FOOT, p=_paragraphs(inside), s=_paragraphs(beside)))
+        marks = html.labelled([page], net)[0]
+        assert [l.text for l, m in zip(page, marks) if m] == [*before, *inside, *after], name
+        if name != "bare paragraphs":
+            assert html.named(page) == [int(m) for m in marks], name
+
+
+def test_attributes_and_raw_elements():
+    read = lambda page: [l.text for l in html.leaves(page)]
+    assert read("<p>a <a title=don't>b</a> c</p><p>d's</p>") == ["a b c", "d's"]
+    assert read("<p title='x > y'>a</p><p title=\"it's\">b</p>") == ["a", "b"]
+    assert read("<div><style>p{}</div><p>a</p><script>x") == ["a"]
+    assert read("<script>a</script><p>b</p>" * 3) == ["b"] * 3
+    assert html.leaves("<div data-id=ad class='Main-Col x1' title='class=menu'>a</div>")[0].path == ("div", ".main", ".col", ".x", ".1")
+    many = "<div>" * 2000 + "<script>" * 2000 + "x"
+    assert read(many) == []
+
+
+def test_order_of_the_path_is_read():
+    within, around = (html.told([html.Leaf(path, "x", 0.0)])[0].told for path in (("article", "div", ".comments", "p"), ("div", ".comments", "article", "p")))
+    assert set(within) != set(around)
+    assert html.named([html.Leaf(("article", "header", x), "t", 0.0) for x in ("h1", "p")]) == [1, 0]
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(4)
     net = html.Labeller.fresh()
