@@ -317,6 +317,11 @@ def _variant(page: list[Leaf], texts: list[str], rng: np.random.Generator) -> tu
                 text = " ".join(text.split()[: int(rng.integers(1, 12))])
             out.insert(at, Leaf(base + outer + inner, text, float(rng.random() < 0.3)))
             y.insert(at, 0)
+    if rng.random() < 0.5:  # the parts of the page in another order
+        starts = [i for i, l in enumerate(out) if not i or l.path[:4] != out[i - 1].path[:4]]
+        runs = [range(a, b) for a, b in zip(starts, [*starts[1:], len(out)])]
+        order = [i for r in rng.permutation(len(runs)) for i in runs[r]]
+        out, y = [out[i] for i in order], [y[i] for i in order]
     if rng.random() < 0.75:  # a page of many nested containers
         out = [Leaf(_nested(l.path, rng), l.text, l.linked) for l in out]
     wrapper: tuple[str, ...] = ()
