@@ -42,13 +42,15 @@ _PIECES = re.compile(
 
 
 class _Ids(dict):
-    """The ids of a pre-token as bytes, from the tokenizer at the first time.
+    """The ids of a pre-token as bytes, from the tokenizer's model at the first time.
 
+    The model is asked directly: a pre-token needs no cutting any more, only the byte-level spelling of its characters.
     When full it becomes the older generation, and what is met again comes back from there: frequent pre-tokens stay.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.spelled = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if _PLAIN.fullmatch(c)}
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -57,7 +59,7 @@ class _Ids(dict):
             self.clear()
         made = self.older.get(piece)
         if made is None:
-            made = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            made = array("I", [token.id for token in self.model.tokenize(piece.translate(self.spelled))]).tobytes()
         self[piece] = made
         return made
 

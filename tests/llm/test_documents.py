@@ -65,6 +65,34 @@ def test_ids_of_cut_texts_equal_the_tokenizers():
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pretokens_of_plain_texts_skip_the_tokenizers_cutting(monkeypatch):
+    """Every plain character in pre-tokens met the first time: the model's ids are the tokenizer's, which is asked for no text."""
+    import public_tokenizers
+    import tokenizers
+
+    whole, asked = _tokenizer(), []
+
+    class Watched:
+        @staticmethod
+        def from_file(path):
+            return Watched()
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return whole.encode(text, **options)
+
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Watched)
+    encode = packing.encoder.__wrapped__(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = [c for c in map(chr, range(0x250)) if packing._PLAIN.fullmatch(c)]
+    for text in ("".join(plain), *plain, *(f"{c}{c} blean{c}ste {c}9" for c in plain)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert len(plain) > 500 and not asked
+    assert np.frombuffer(encode("漢 a"), "<u4").tolist() == whole.encode("漢 a", add_special_tokens=False).ids and asked == ["漢 a"]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fullest_equals_brute_force(seed):
     rng = random.Random(seed)
